@@ -20,12 +20,12 @@ def canonical_id(raw: Column) -> Column:
     stays null, the empty text empty.
     """
     text = F.lower(F.trim(raw))
-    bare = F.translate(
-        F.when(text.startswith(URN_PREFIX), F.substr(text, F.lit(len(URN_PREFIX) + 1))).otherwise(text), "{}-", ""
-    )
-    spans = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
-    dashed = F.concat_ws("-", *[F.substring(bare, at, size) for at, size in spans])
-    return F.when(bare.rlike(r"\A[0-9a-f]{32}\z"), dashed).otherwise(text)
+    bare = F.regexp_replace(F.regexp_replace(text, rf"\A{URN_PREFIX}", ""), "[{}-]", "")
+    parts = r"([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})"
+    # nearly all ids are in this form already and skip the rest
+    done = text.rlike(r"\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z")
+    dashed = F.regexp_replace(bare, rf"\A{parts}\z", "$1-$2-$3-$4-$5")
+    return F.when(done, text).when(bare.rlike(r"\A[0-9a-f]{32}\z"), dashed).otherwise(text)
 
 
 def item_text(raw: Column) -> Column:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, scratch_path
 
 IDENTITY = ("ref_table", "ref_month", "id", "parent", "refs")
 RESULT = "ref_table string, ref_month string, id string, parent string, kind string, round int"
@@ -41,12 +41,18 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
     references to it orphans; an empty child table has none.
 
     Records are reduced to distinct (key, period, references) before any join,
-    so that a key repeated millions of times meets the join once. The number of
-    rounds is that of the longest chain, and each ends in a reliable checkpoint.
+    so that a key repeated millions of times meets the join once; these are
+    written to the shared folder, as every reference and round reads them. The
+    number of rounds is that of the longest chain, and each ends in a reliable
+    checkpoint.
     """
     spark = next(iter(tables.values())).sparkSession
     via = {t: sorted({r.via for r in references if r.child == t} | {key}) for t in tables}
-    nodes = {t: df.select(*[F.col(c) for c in via[t]], F.col(period).alias("__period")).distinct() for t, df in tables.items()}
+    nodes = {}
+    for t, df in tables.items():
+        path = scratch_path(spark, f"nodes-{t}")
+        df.select(*[F.col(c) for c in via[t]], F.col(period).alias("__period")).distinct().write.parquet(path)
+        nodes[t] = spark.read.parquet(path)
 
     def as_found(df: DataFrame, ref: Reference, kind: str, number: int) -> DataFrame:
         return df.select(
@@ -63,7 +69,7 @@ def find_orphans(tables: Mapping[str, DataFrame], references: Sequence[Reference
         return df.where(F.col("__key").isNotNull()).distinct()
 
     def missing(ref: Reference) -> DataFrame:
-        held = keyed(tables[ref.parent].select(F.col(key).alias("__key")))
+        held = keyed(nodes[ref.parent].select(F.col(key).alias("__key")))
         children = nodes[ref.child].where(F.col(ref.via).isNotNull())
         return children.join(held, F.col(ref.via) == F.col("__key"), "left_anti")
 
