@@ -13,44 +13,40 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import table
 
 
-def version_log(spark: SparkSession, folder: str) -> DataFrame:
-    e, k = F.col("event_id"), F.get_json_object("props", "$.k")
-    length = F.make_dt_interval(mins=F.floor("value").cast("int"))
-    hour = F.expr("INTERVAL 1 HOUR")
-    segment = F.concat(F.lit("seg:"), (F.col("user_id") % 10).cast("string"))
-    moved = e % 13 == 0
+CREATED, RETAGGED, MOVED, LEFT, DELETED = range(5)
+COMMIT = (1, 2, 3, 3, 4)
 
-    def version(when, txn: int, start, first_tag=None) -> object:
-        alive = first_tag is not None
-        return F.struct(
-            when.alias("made"),
-            start.alias("start_time"),
-            (start + length if alive else F.lit(None).cast("timestamp_ntz")).alias("end_time"),
-            (F.array(first_tag, segment) if alive else F.lit(None).cast("array<string>")).alias("tags"),
-            (
-                F.create_map(F.lit("k"), k, F.lit("type"), F.col("event_type")) if alive else F.lit(None).cast("map<string,string>")
-            ).alias("annotations"),
-            F.lit(txn).cast("bigint").alias("txn_ts"),
-            F.lit(not alive).alias("is_deleted"),
-        )
 
-    later = F.col("ts") + hour
-    versions = F.array(
-        version(F.lit(True), 1, F.col("ts"), F.col("event_type")),
-        version(e % 7 == 0, 2, F.col("ts"), F.lit("retagged")),
-        version(moved, 3, later, F.col("event_type")),
-        version(moved, 3, F.col("ts")),
-        version(e % 11 == 0, 4, F.when(moved, later).otherwise(F.col("ts"))),
+def version_log(spark: SparkSession, folder: str) -> DataFrame:
+    e, kind = F.col("event_id"), F.col("kind")
+    none = F.array().cast("array<int>")
+    kinds = F.concat(
+        F.array(F.lit(CREATED)),
+        F.when(e % 7 == 0, F.array(F.lit(RETAGGED))).otherwise(none),
+        F.when(e % 13 == 0, F.array(F.lit(MOVED), F.lit(LEFT))).otherwise(none),
+        F.when(e % 11 == 0, F.array(F.lit(DELETED))).otherwise(none),
     )
+    alive = ~kind.isin(LEFT, DELETED)
+    shifted = (kind == MOVED) | ((kind == DELETED) & (e % 13 == 0))
+    start = F.when(shifted, F.timestamp_add("HOUR", F.lit(1), F.col("ts"))).otherwise(F.col("ts"))
+    first_tag = F.when(kind == RETAGGED, "retagged").otherwise(F.col("event_type"))
+    segment = F.concat(F.lit("seg:"), (F.col("user_id") % 10).cast("string"))
+    commit = F.element_at(F.array(*[F.lit(c).cast("bigint") for c in COMMIT]), kind + 1)
     return (
         table(spark, folder, "events")
-        .withColumn("v", F.explode(F.filter(versions, lambda x: x["made"])))
+        .withColumn("k", F.get_json_object("props", "$.k"))
+        .withColumn("kind", F.explode(kinds))
         .select(
             F.lpad(e.cast("string"), 12, "0").alias("id"),
             F.concat(F.lit("event "), e.cast("string")).alias("title"),
             F.col("props").alias("description"),
             F.struct(F.lit("user").alias("type_code"), F.col("user_id").cast("string").alias("external_id")).alias("resource"),
-            *[F.col(f"v.{c}").alias(c) for c in ("start_time", "end_time", "tags", "annotations", "txn_ts", "is_deleted")],
+            start.alias("start_time"),
+            F.when(alive, F.timestamp_add("MINUTE", F.floor("value").cast("int"), start)).alias("end_time"),
+            F.when(alive, F.array(first_tag, segment)).alias("tags"),
+            F.when(alive, F.create_map(F.lit("k"), F.col("k"), F.lit("type"), F.col("event_type"))).alias("annotations"),
+            commit.alias("txn_ts"),
+            (~alive).alias("is_deleted"),
         )
     )
 
