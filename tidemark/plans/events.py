@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import dump
+from tidemark.functions.columns import micros
 from tidemark.operators import measures, mutations
 from tidemark.operators import versions as v
 from tidemark.plans.cursor import PageToken, encode
 from tidemark.plans.fixture import LOG_SQL, state_sql, version_log
 from tidemark.plans.listing import Request, listed, matching
+from tidemark.sources import rows as stored
 from tidemark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,8 +160,6 @@ def lookup_by_ids(spark, folder):
 
 @query("key_projection", f"WITH {LOG_SQL} SELECT 'user' AS type_code, external_id, epoch_us(start_time) AS start_us, id, CAST(txn_ts AS BIGINT) AS txn_ts, is_deleted FROM log")
 def key_projection(spark, folder):
-    from tidemark.functions.columns import micros
-
     return version_log(spark, folder).select(
         "resource.type_code", "resource.external_id", micros(F.col("start_time")).alias("start_us"), "id", "txn_ts", "is_deleted"
     )
@@ -337,3 +337,44 @@ def etl_dedup_first(spark, folder):
 @query("etl_json_lists", """SELECT delivery_no, CAST(to_json(tickets) AS VARCHAR) AS tickets FROM event_dump""")
 def etl_json_lists(spark, folder):
     return table(spark, folder, "event_dump").select("delivery_no", dump.as_json(F.col("tickets")).alias("tickets"))
+
+
+# stored rows: S3, S10
+
+_PAYLOAD_SQL = "CASE WHEN json_valid(decode(event)) THEN decode(event) END"
+
+
+@query(
+    "stored_payloads",
+    f"""SELECT id, start_time, json_extract_string(p, '$.title') AS title, json_extract_string(p, '$.sev') AS sev,
+        array_to_string(CAST(json_extract(p, '$.tags') AS VARCHAR[]), ',') AS tags FROM (SELECT *, {_PAYLOAD_SQL} AS p FROM event_rows)""",
+)
+def stored_payloads(spark, folder):
+    """Payloads of all stored rows; null where it is missing or cut off."""
+    rows = table(spark, folder, "event_rows").select("id", "start_time", stored.decoded(F.col("event")).alias("p"))
+    return rows.select("id", "start_time", "p.title", "p.sev", F.array_join("p.tags", ",").alias("tags"))
+
+
+@query("stored_roundtrip", f"SELECT id, start_time, {_PAYLOAD_SQL} AS payload FROM event_rows")
+def stored_roundtrip(spark, folder):
+    """Payloads decoded and encoded again, as text."""
+    again = stored.encoded(stored.decoded(F.col("event"))).cast("string")
+    return table(spark, folder, "event_rows").select("id", "start_time", again.alias("payload"))
+
+
+@query(
+    "initial_load",
+    f"""SELECT id, title, start_time, tags FROM (SELECT id, json_extract_string(p, '$.title') AS title, make_timestamp(start_time) AS start_time,
+        array_to_string(CAST(json_extract(p, '$.tags') AS VARCHAR[]), ',') AS tags,
+        row_number() OVER (PARTITION BY id ORDER BY start_time DESC) AS rn
+        FROM (SELECT *, {_PAYLOAD_SQL} AS p FROM (SELECT DISTINCT id, start_time, event FROM event_rows WHERE removed_at IS NULL AND id IN
+            (SELECT id FROM event_rows WHERE removed_at IS NULL GROUP BY 1 HAVING count(DISTINCT (start_time, event)) = 1)))) WHERE rn = 1""",
+)
+def initial_load(spark, folder):
+    """The log of stored rows, resolved; of ids whose rows all agree, as among others any may win."""
+    rows = table(spark, folder, "event_rows")
+    # null payloads and starts take part in agreeing
+    alike = F.count_distinct(F.struct("start_time", "event"))
+    agreed = rows.where(F.col("removed_at").isNull()).groupBy("id").agg(alike.alias("n")).where("n = 1").select("id")
+    state = v.state(stored.as_initial_log(rows)).join(agreed, "id", "left_semi")
+    return state.select("id", "title", "start_time", F.array_join("tags", ",").alias("tags"))
