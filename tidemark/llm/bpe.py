@@ -32,6 +32,7 @@ _ASCII = re.compile(PIECES.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").
 _FOREIGN = re.compile(r"[^\x00-\x7f]")
 _CUT = re.compile(r"(?<=[!-~])(?= )")
 BOUNDARY = 0
+MAX_AGREEMENTS = 400_000
 Ids = tuple[int, ...]
 Paths = tuple[tuple[int, int, Ids], ...]
 
@@ -66,7 +67,7 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 20_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -117,6 +118,8 @@ class Transducer:
         """
         known = self._agree.get((left, right))
         if known is None:
+            if len(self._agree) >= MAX_AGREEMENTS:
+                self._agree.clear()
             known = self._agree[left, right] = self._stood(left, right)
         return known
 
@@ -171,20 +174,15 @@ class Transducer:
     def encode_piece(self, raw: bytes) -> list[int]:
         """Ids of one piece; empty for an empty piece. Linear in its length.
 
-        While there is room new states are kept; without, the rest of a piece is
-        followed path by path, which gives the same ids.
+        New states are kept while there is room. Beyond it, a piece that leaves
+        the states that are there is followed path by path, with the same ids.
         """
         steps, state, out = self.steps, 0, []
-        room = len(self.states) < self.max_states
-        for at, byte in enumerate(raw):
+        for byte in raw:
             step = steps[state].get(byte)
             if step is None:
-                if not room:
-                    paths = self.states[state]
-                    for rest in raw[at:]:
-                        paths, written = self._step(paths, rest)
-                        out += written
-                    return out + list(paths[-1][2])
+                if len(self.states) >= self.max_states:
+                    return self._follow(raw)
                 step = self._learn(state, byte)
             state, written = step
             if written:
@@ -192,6 +190,32 @@ class Transducer:
         out += self.states[state][-1][2]
         return out
 
+    def _follow(self, raw: bytes) -> list[int]:
+        """The nondeterministic walk: which token ends at each boundary, then back from the last one."""
+        children, token_at = self.children, self.token_at
+        ends: list[int] = [-1]
+        live: list[tuple[int, int]] = []
+        for at, byte in enumerate(raw):
+            live.append((at, BOUNDARY))
+            going, end = [], -1
+            for start, node in live:
+                below = children[node].get(byte)
+                if below is None:
+                    continue
+                if end < 0:
+                    token = token_at[below]
+                    if token >= 0 and (not start or self.agree(ends[start], token)):
+                        end = token
+                if children[below]:
+                    going.append((start, below))
+            ends.append(end)
+            live = going
+        out, at = [], len(raw)
+        while at:
+            out.append(ends[at])
+            at -= len(self.bytes_of[ends[at]])
+        return out[::-1]
+
 
 class _Known(dict):
     """Pieces met so far, numbered; the ids of piece i are flat[starts[i]:starts[i + 1]]."""
@@ -210,7 +234,7 @@ class _Known(dict):
 class Encoder:
     """Texts to ids. Pieces are remembered up to ``max_pieces``, then forgotten together."""
 
-    def __init__(self, ranks: dict[bytes, int], max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], max_pieces: int = 250_000):
         self.transducer, self.max_pieces = Transducer(ranks), max_pieces
         self.known = _Known(self.transducer)
 
