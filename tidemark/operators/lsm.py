@@ -60,12 +60,9 @@ class ChangeTable:
         folder = self.store.new_part_path()
         placed = self._placed(changes, F.col(run).cast("int").alias(RUN))
         order = [RUN, self.key, self.sequence]
-        (
-            placed.repartitionByRange(shuffle_width(self.spark), *order)
-            .sortWithinPartitions(*order)
-            .write.partitionBy(RUN)
-            .parquet(folder)
-        )
+        # the row's position splits a change that was delivered millions of times, which its key alone could not
+        spread = placed.repartitionByRange(shuffle_width(self.spark), *order, F.monotonically_increasing_id())
+        spread.sortWithinPartitions(*order).write.partitionBy(RUN).parquet(folder)
         path = self.store._path(folder)
         names = [s.getPath().getName() for s in self.store._fs.listStatus(path)]
         runs = sorted((n for n in names if n.startswith(f"{RUN}=")), key=lambda n: int(n.partition("=")[2]))

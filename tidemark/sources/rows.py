@@ -37,11 +37,11 @@ def shard(*keys: Column, shards: int = SHARDS) -> Column:
 def write_sharded(df: DataFrame, path: str, key: str, shards: int = 64) -> None:
     """Parquet files of one shard of ``key`` each, rows in key order within; a lookup by key then reads one folder.
 
-    The spread over tasks is by shard and by row order, so a key with a third
-    of all rows fills several files instead of one task.
+    The spread over tasks is by shard, key and the row's position, so a key with
+    a third of all rows fills several files instead of one task.
     """
     placed = df.withColumn("shard", shard(F.col(key), shards=shards))
-    placed.repartitionByRange("shard", key, F.xxhash64(*df.columns)).sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", key, F.monotonically_increasing_id()).sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(path)
 
 
 def read_shard(spark: SparkSession, path: str, key: str, value: str, shards: int = 64) -> DataFrame:
