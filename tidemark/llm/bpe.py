@@ -190,31 +190,40 @@ class Transducer:
         out += self.states[state][-1][2]
         return out
 
+    def _tokens_from(self, raw: bytes, at: int) -> list[tuple[int, int]]:
+        """Tokens that begin at ``at`` and where they stop, the longest last."""
+        found, node = [], BOUNDARY
+        for stop in range(at, len(raw)):
+            node = self.children[node].get(raw[stop])
+            if node is None:
+                break
+            if self.token_at[node] >= 0:
+                found.append((self.token_at[node], stop + 1))
+        return found
+
     def _follow(self, raw: bytes) -> list[int]:
-        """The nondeterministic walk: which token ends at each boundary, then back from the last one."""
-        children, token_at = self.children, self.token_at
-        ends: list[int] = [-1]
-        live: list[tuple[int, int]] = []
-        for at, byte in enumerate(raw):
-            live.append((at, BOUNDARY))
-            going, end = [], -1
-            for start, node in live:
-                below = children[node].get(byte)
-                if below is None:
-                    continue
-                if end < 0:
-                    token = token_at[below]
-                    if token >= 0 and (not start or self.agree(ends[start], token)):
-                        end = token
-                if children[below]:
-                    going.append((start, below))
-            ends.append(end)
-            live = going
-        out, at = [], len(raw)
-        while at:
-            out.append(ends[at])
-            at -= len(self.bytes_of[ends[at]])
-        return out[::-1]
+        """The nondeterministic walk, one path at a time, longest tokens first.
+
+        A boundary is reached by one path only, so one that leads nowhere need
+        not be tried again, and each is expanded once.
+        """
+        path: list[int] = []
+        reached, open_ = [0], [self._tokens_from(raw, 0)]
+        dead = set()
+        while reached[-1] < len(raw):
+            ahead = open_[-1]
+            while ahead:
+                token, stop = ahead.pop()
+                if stop not in dead and (not path or self.agree(path[-1], token)):
+                    path.append(token)
+                    reached.append(stop)
+                    open_.append(self._tokens_from(raw, stop))
+                    break
+            else:
+                dead.add(reached.pop())
+                open_.pop()
+                path.pop()
+        return path
 
 
 class _Known(dict):
