@@ -16,7 +16,10 @@ pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no te
 @pytest.mark.parametrize("name", CORE)
 def test_query(spark, name):
     query, sql = CORE[name]
-    got = spark_rows(query(spark, FOLDER))
+    df = query(spark, FOLDER)
+    got = spark_rows(df)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(bad in plan for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython"))
     if sql:
         assert got == duck(FOLDER, sql)
 
@@ -26,3 +29,22 @@ def test_entry_lists_every_core_query(spark):
 
     assert set(CORE) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns
+
+
+def scans(df):
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
+
+
+def test_snapshot_key_and_columns_reach_the_scan(spark, tmp_path):
+    from tidemark.operators.versions import state
+    from tidemark.plans.fixture import version_log
+    from tidemark.plans.listing import Request, matching
+
+    version_log(spark, FOLDER).write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    (scan,) = scans(matching(log, Request('tags = "click"', as_of=3)).select("id"))
+    assert "LessThanOrEqual(txn_ts,3)" in scan and "description" not in scan and "annotations" not in scan
+    (scan,) = scans(state(log.where("id = 'x'"), 3))
+    assert "EqualTo(id,x)" in scan
+    plan = matching(log, Request())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -34,6 +36,27 @@ class Page:
     next_page_token: str
 
 
+def request_fields(message: Mapping[str, Any]) -> dict[str, Any]:
+    """Fields of a :class:`Request` from a JSON message with page_size, page_token, start_time, end_time and filter.
+
+    Times are ISO 8601 and mean UTC without a zone; absent ones are unbounded.
+    """
+
+    def moment(text: str | None) -> datetime.datetime | None:
+        if not text:
+            return None
+        at = datetime.datetime.fromisoformat(text)
+        return at.astimezone(datetime.UTC).replace(tzinfo=None) if at.tzinfo else at
+
+    return {
+        "page_size": message.get("page_size"),
+        "page_token": message.get("page_token") or "",
+        "start": moment(message.get("start_time")),
+        "end": moment(message.get("end_time")),
+        "filter": message.get("filter") or "",
+    }
+
+
 def matching(log: DataFrame, request: Request) -> DataFrame:
     """All matching events of the snapshot, unordered.
 
