@@ -31,6 +31,22 @@ def test_entry_lists_every_core_query(spark):
     assert __spark_entry__.entry(spark).columns
 
 
+@pytest.fixture(scope="module")
+def empty(tmp_path_factory):
+    import duckdb
+
+    folder = tmp_path_factory.mktemp("empty")
+    for path in pathlib.Path(FOLDER).glob("*.parquet"):
+        duckdb.connect().execute(f"COPY (SELECT * FROM '{path}' LIMIT 0) TO '{folder}/{path.name}' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [*problems.QUERIES, "list_and", "page_second", "update_start_time", "latency_stats", "int_avg", "etl_map", "initial_load"])
+def test_empty_tables(spark, empty, name):
+    query, sql = CORE[name]
+    assert spark_rows(query(spark, empty)) == duck(empty, sql)
+
+
 def scans(df):
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in line]
 

@@ -31,7 +31,8 @@ class ChangeTable:
     column in the given order and nulls least, so that any order of arrival
     gives the same result. Only ``key``, ``sequence``, ``deleted`` and
     ``payload`` columns are stored. A hot key is pre-merged by every task
-    before the shuffle of a read, and split over files in a run.
+    before the shuffle of a read, and split over files in a run. Appending
+    nothing gives an empty run; reading before any append is an error.
     """
 
     def __init__(self, spark: SparkSession, root: str, key: str, sequence: str, deleted: str, payload: Sequence[str], fan_in: int = 4):
@@ -65,6 +66,9 @@ class ChangeTable:
         spread.sortWithinPartitions(*order).write.partitionBy(RUN).parquet(folder)
         path = self.store._path(folder)
         names = [s.getPath().getName() for s in self.store._fs.listStatus(path)]
+        if not any(n.startswith(RUN) for n in names):  # nothing to place: an empty run, which has the columns
+            placed.drop(RUN).write.parquet(f"{folder}/{RUN}=0")
+            names = [f"{RUN}=0"]
         runs = sorted((n for n in names if n.startswith(f"{RUN}=")), key=lambda n: int(n.partition("=")[2]))
         new = tuple(Part(f"{folder}/{n}", f"{tag}/{n.partition('=')[2]}") for n in runs)
         return self.store.publish(base, (*base.parts, *new))
