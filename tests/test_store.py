@@ -64,6 +64,15 @@ def test_a_tag_is_committed_once_and_a_version_number_taken_once(spark, tmp_path
         raw.publish(old, ())
 
 
+def test_a_writer_that_died_does_not_block_the_next(spark, tmp_path):
+    store = PartStore(spark, f"{tmp_path}/raw")
+    (tmp_path / "raw/versions").mkdir(parents=True)
+    (tmp_path / "raw/versions/0000000001.claim").touch()
+    with pytest.raises(PublishConflict):
+        store.publish(store.current(), ())
+    assert PartStore(spark, f"{tmp_path}/raw", stale_after=0).publish(store.current(), ()).number == 1
+
+
 def test_streaming_ingest_and_throughput(spark, tmp_path):
     source, store = f"{tmp_path}/in", EventStore(spark, f"{tmp_path}/s")
     rows = [tuple({**dict.fromkeys(EVENT.names), "id": f"e{n}", "start_time": T0 + dt.timedelta(seconds=n)}[c] for c in EVENT.names) for n in range(10)]
