@@ -1,8 +1,10 @@
 import datetime as dt
+import uuid
 
 import pytest
 
 from tidemark.model import EVENT
+from tidemark.operators.mutations import created
 from tidemark.sources.manifest import PartStore, PublishConflict
 from tidemark.store import EventStore, UnknownEvent
 from tidemark.streaming.ingest import event_stream, ingest, stream_throughput
@@ -41,6 +43,16 @@ def test_life_of_events(spark, tmp_path):
             bad()
 
 
+def test_assigned_ids_are_ordered_by_time_and_repeatable(spark):
+    rows = spark.range(200).selectExpr("'given' as id", "cast(id as string) as title")
+    at = 1_751_328_000_123
+    ids = [r.id for r in created(rows, 3, at, "root").collect()]
+    assert ids == [r.id for r in created(rows, 3, at, "root").collect()] and len(set(ids)) == 200
+    for i in map(uuid.UUID, ids):
+        assert (i.version, i.variant, i.int >> 80) == (7, uuid.RFC_4122, at)
+    assert created(rows, 3).first().id == "given"
+
+
 def test_forgetting_keeps_what_later_snapshots_see(spark, tmp_path):
     store = EventStore(spark, f"{tmp_path}/s")
     (one,) = store.create_batch([event(0)])

@@ -41,5 +41,5 @@ def micros(stamp: Column) -> Column:
 
 def month_of_micros(us: Column) -> Column:
     """``yyyy-MM`` of microseconds since the epoch, null for null."""
-    days = F.floor(us / F.lit(MICROS_PER_DAY)).cast("int")
+    days = ((us - F.pmod(us, F.lit(MICROS_PER_DAY))) / F.lit(MICROS_PER_DAY)).cast("int")  # whole, so exact as a double
     return F.date_format(F.date_from_unix_date(days), "yyyy-MM")

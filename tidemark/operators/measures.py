@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from tidemark.session import cut_lineage, shuffle_width
 
 
+def postings(events: DataFrame) -> DataFrame:
+    """The inverted view: key, value, id, with a null key for tags; each tag and annotation of an event once.
+
+    Null tags are none; an annotation with a null value is kept, as the key is there.
+    """
+    tags = events.select(F.lit(None).cast("string").alias("key"), F.explode(F.array_distinct("tags")).alias("value"), "id")
+    notes = events.select(F.explode("annotations").alias("key", "value"), "id")
+    return tags.where(F.col("value").isNotNull()).unionByName(notes)
+
+
 def tag_cardinalities(events: DataFrame) -> DataFrame:
     """Events for each tag: tag, n_events. A tag repeated in one event counts once; null tags are none."""
     tags = events.select(F.explode(F.array_distinct("tags")).alias("tag")).where(F.col("tag").isNotNull())

@@ -266,6 +266,15 @@ def delete_events(spark, folder):
 # statistics: A9 to A12, O2
 
 
+@query(
+    "postings_view",
+    f"""{state_sql()} SELECT DISTINCT NULL::VARCHAR AS key, tag AS value, id FROM cur, unnest(tags) AS u(tag)
+        UNION ALL SELECT e.key, e.value, id FROM (SELECT id, unnest(map_entries(annotations)) AS e FROM cur)""",
+)
+def postings_view(spark, folder):
+    return measures.postings(v.state(version_log(spark, folder)))
+
+
 @query("posting_cardinality_tags", f"{state_sql()} SELECT tag, count(DISTINCT id) AS n_events FROM cur, unnest(tags) AS u(tag) GROUP BY 1")
 def posting_cardinality_tags(spark, folder):
     return measures.tag_cardinalities(v.state(version_log(spark, folder)))
