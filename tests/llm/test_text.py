@@ -293,3 +293,11 @@ def test_query(spark, name):
     got = spark_rows(queries.QUERIES[name](spark, FOLDER))
     if name in queries.SQL:
         assert got == duck(FOLDER, queries.SQL[name])
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_empty_tables(spark, tmp_path, name):
+    for path in pathlib.Path(FOLDER).glob("*.parquet"):
+        duckdb.connect().execute(f"COPY (SELECT * FROM '{path}' LIMIT 0) TO '{tmp_path}/{path.name}' (FORMAT parquet)")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == queries.QUERIES[name](spark, FOLDER).columns
