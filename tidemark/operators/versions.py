@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,17 +16,19 @@ def visible(log: DataFrame, as_of: int | None) -> DataFrame:
     return log if as_of is None else log.where(F.col("txn_ts") <= as_of)
 
 
-def newest(log: DataFrame) -> DataFrame:
+def newest(log: DataFrame, ties: Sequence[str] = ()) -> DataFrame:
     """One version for each id: the greatest txn_ts, a live one before a tombstone of the same commit.
 
     A move of the start writes both at one commit, hence the tie. Further ties
-    go to the later start. Rows with a null id form no chain and are left out;
-    a null is_deleted means live, a null txn_ts is older than any. The ranking
-    keeps one row an id in each task before the shuffle, so an id with very
-    many versions does not fill one task.
+    go to the later start, then to the greater value of each column of ``ties``,
+    nulls last; of rows alike in all of these any may win. Rows with a null id
+    form no chain and are left out; a null is_deleted means live, a null txn_ts
+    is older than any. The ranking keeps one row an id in each task before the
+    shuffle, so an id with very many versions does not fill one task.
     """
     dead = F.coalesce(F.col("is_deleted"), F.lit(False))
-    order = Window.partitionBy("id").orderBy(F.col("txn_ts").desc_nulls_last(), dead.asc(), F.col("start_time").desc_nulls_last())
+    later = [F.col(c).desc_nulls_last() for c in ("start_time", *ties)]
+    order = Window.partitionBy("id").orderBy(F.col("txn_ts").desc_nulls_last(), dead.asc(), *later)
     ranked = log.where(F.col("id").isNotNull()).withColumn("__rank", F.row_number().over(order))
     return ranked.where(F.col("__rank") == 1).drop("__rank")
 
@@ -35,9 +38,9 @@ def live(resolved: DataFrame) -> DataFrame:
     return resolved.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
 
 
-def state(log: DataFrame, as_of: int | None = None) -> DataFrame:
+def state(log: DataFrame, as_of: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """The events that exist in a snapshot, each in its newest visible version."""
-    return live(newest(visible(log, as_of)))
+    return live(newest(visible(log, as_of), ties))
 
 
 def overlaps(start: datetime.datetime | None, end: datetime.datetime | None) -> Column:

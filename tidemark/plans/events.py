@@ -380,10 +380,6 @@ def stored_roundtrip(spark, folder):
             (SELECT id FROM event_rows WHERE removed_at IS NULL GROUP BY 1 HAVING count(DISTINCT (start_time, event)) = 1)))) WHERE rn = 1""",
 )
 def initial_load(spark, folder):
-    """The log of stored rows, resolved; of ids whose rows all agree, as among others any may win."""
-    rows = table(spark, folder, "event_rows")
-    # null payloads and starts take part in agreeing
-    alike = F.count_distinct(F.struct("start_time", "event"))
-    agreed = rows.where(F.col("removed_at").isNull()).groupBy("id").agg(alike.alias("n")).where("n = 1").select("id")
-    state = v.state(stored.as_initial_log(rows)).join(agreed, "id", "left_semi")
+    """The log of stored rows, resolved: every id that stands, at its latest start; ties go to the greater title, then tags."""
+    state = v.state(stored.as_initial_log(table(spark, folder, "event_rows")), ties=("title", "tags"))
     return state.select("id", "title", "start_time", F.array_join("tags", ",").alias("tags"))
