@@ -288,6 +288,19 @@ def test_types(spark):
 # the queries
 
 
+def test_what_is_learnt_shows_in_the_types_only(spark, monkeypatch):
+    found, types = (spark_rows(queries.QUERIES[name](spark, FOLDER)) for name in ("p10_found", "p10_types"))
+    learn = quality.learn
+
+    def turned(patterns, weights):
+        model = learn(patterns, weights)
+        return quality.VoteModel(model.prior[::-1], model.table[::-1])
+
+    monkeypatch.setattr(quality, "learn", turned)
+    assert spark_rows(queries.QUERIES["p10_found"](spark, FOLDER)) == found
+    assert spark_rows(queries.QUERIES["p10_types"](spark, FOLDER)) != types
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_query(spark, name):
     got = spark_rows(queries.QUERIES[name](spark, FOLDER))

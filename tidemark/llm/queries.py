@@ -66,7 +66,7 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed documents that the stated thresholds, checked exactly, call not prose."""
+    """Documents that the stated thresholds on the counts call not prose; the learnt types have no part in it."""
     typed = text_types(table(spark, folder, "documents"), table(spark, folder, "common_words"))
     return typed.where(F.col("text_type") != "empty").where(stated_rule()).select("doc_id").distinct()
 
