@@ -1,12 +1,17 @@
-"""No standing id is lost in loading, whichever of its rows disagree."""
+"""No id is lost in loading, whichever of its rows disagree or lack a service."""
 
 import datetime as dt
+import json
 import pathlib
 
 import pytest
+from pyspark.sql import types as T
 
 from tests.oracle import duck, spark_rows
+from tidemark.__main__ import load
+from tidemark.model import DUMP
 from tidemark.plans.events import QUERIES, SQL
+from tidemark.store import EventStore
 
 FOLDER = "/root/testdata/sf0.001"
 STORED = "resource_type_code string, resource_external_id string, start_time bigint, id string, event binary, written_at timestamp, removed_at timestamp"
@@ -57,3 +62,32 @@ def test_initial_load_has_every_standing_id(spark):
     assert len(rows) == duck(FOLDER, "SELECT count(DISTINCT id) AS n FROM event_rows WHERE removed_at IS NULL")[1][0][0]
     # of the ids whose rows agree, nothing changes
     assert set(duck(FOLDER, SQL["initial_load"])[1]) <= set(rows)
+
+
+def delivered(no, id_, service, title, start=60):
+    return {
+        "delivery_no": no, "id": id_, "title": title, "service_id": service, "start_time": start, "finish_time": start + 60, "created_at": no,
+        "components": ["prod"], "resource_manager_entity": {"type": "team", "slug": "a"},
+    }
+
+
+DELIVERED = [
+    delivered(1, 1, None, "no service"), delivered(2, 1, 7, "first with one"), delivered(3, 1, 8, "second with one"),
+    delivered(4, 2, 7, "first"), delivered(5, 2, None, "none"), delivered(6, 3, None, "never"), delivered(7, None, 7, "no id"),
+]
+KEPT = [("1", "first with one"), ("2", "first")]
+
+
+@pytest.mark.parametrize("rows", [DELIVERED, DELIVERED[::-1]], ids=["forward", "backward"])
+def test_dedup_takes_the_first_copy_with_a_service(spark, tmp_path, rows):
+    schema = T.StructType([T.StructField("delivery_no", T.LongType()), *DUMP.fields])
+    full = [tuple(r.get(f.name) for f in schema) for r in rows]
+    spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/event_dump.parquet")
+    assert sorted((r.id, r.title) for r in QUERIES["etl_dedup_first"](spark, str(tmp_path)).collect()) == KEPT
+
+
+def test_load_takes_the_first_copy_with_a_service(spark, tmp_path):
+    (tmp_path / "dump.json").write_text("\n".join(json.dumps({k: v for k, v in r.items() if k != "delivery_no"}) for r in DELIVERED))
+    store = EventStore(spark, f"{tmp_path}/store")
+    assert load(spark, store, f"{tmp_path}/dump.json", "json", 2, "load")["events"] == 2
+    assert {e.title for e in store.list(page_size=10).rows} == {title for _, title in KEPT}

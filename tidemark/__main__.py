@@ -28,13 +28,13 @@ from tidemark.store import EventStore
 def load(spark: SparkSession, store: EventStore, path: str, kind: str, batches: int, name: str) -> dict:
     """Map dump rows and append them, split by a hash of their id into so many commits.
 
-    Of rows with one id the first by creation, then update, is taken. Batches
+    Of rows with one id and a service the first by creation, then update, is taken. Batches
     are tagged by ``name``, so a load that failed half-way can be run again.
     Latencies of the commits are summarised.
     """
     rows = read_dump(spark, path, kind).withColumn("__order", F.struct("created_at", "updated_at", F.monotonically_increasing_id()))
     # the mapped event has no place for the dump's own columns, so they go before
-    events = dump.mapped(dump.first_seen(rows, "id", "__order").drop("__order"))
+    events = dump.mapped(dump.first_seen(dump.with_service(rows), "id", "__order").drop("__order"))
     took = []
     for n in range(batches):
         begun = time.perf_counter()

@@ -49,6 +49,11 @@ def as_json(values: Column) -> Column:
     return F.to_json(values)
 
 
+def with_service(dump: DataFrame) -> DataFrame:
+    """Rows with a service. To be applied before ``first_seen``, or a first copy without one would take its id along."""
+    return dump.where(F.col("service_id").isNotNull())
+
+
 def mapped(dump: DataFrame, strict: bool = True) -> DataFrame:
     """Events of dump rows; rows without a service are dropped, a null finish is open-ended.
 
@@ -57,8 +62,7 @@ def mapped(dump: DataFrame, strict: bool = True) -> DataFrame:
     """
     code = resource_type(F.col("resource_manager_entity.type"), strict)
     slug = F.col("resource_manager_entity.slug")
-    kept = dump.where(F.col("service_id").isNotNull())
-    return kept.select(
+    return with_service(dump).select(
         null_text(F.col("id")).alias("id"),
         null_text(F.col("title")).alias("title"),
         null_text(F.col("description")).alias("description"),

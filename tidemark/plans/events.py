@@ -340,7 +340,7 @@ def etl_map(spark, folder):
     ),
 )
 def etl_dedup_first(spark, folder):
-    return _mapped(dump.first_seen(table(spark, folder, "event_dump"), "id", "delivery_no"))
+    return _mapped(dump.first_seen(dump.with_service(table(spark, folder, "event_dump")), "id", "delivery_no"))
 
 
 @query("etl_json_lists", """SELECT delivery_no, CAST(to_json(tickets) AS VARCHAR) AS tickets FROM event_dump""")
