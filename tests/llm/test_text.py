@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tests.oracle import duck, spark_rows
 from tidemark.functions.columns import item_text
-from tidemark.llm import leakage, quality, queries
-from tidemark.llm.bpe import Encoder, Utf8Tail, decode_stream, pieces, read_ranks
+from tidemark.llm import bpe, leakage, quality, queries
+from tidemark.llm.bpe import KEPT_LENGTH, MAX_STATES, Encoder, Utf8Tail, decode_stream, pieces, read_ranks
 from tidemark.llm.cooccurrence import Support, far_from_chance, frequent_pairs
 from tidemark.llm.fmindex import FMIndex, suffix_order
 from tidemark.llm.tokenize import VOCABULARY, decoded_digest, token_ids
@@ -110,15 +111,44 @@ def test_any_text(encoder, other, text):
 
 
 def test_a_full_transducer_gives_the_same(ranks, other):
-    small = Encoder(ranks, max_pieces=50)
-    small.transducer.max_states = 30
+    small = Encoder(ranks, max_pieces=50, max_states=30)
     texts = [t or "" for _, t in documents()[:40]] + ODD
     for text in texts:
         assert encode(small, [text]) == [other(text)]
+    assert small.transducer.evictions > 20
+
+
+def test_every_piece_goes_through_the_transducer(ranks):
+    """None is encoded in any other way, over all documents of the largest folder; its states stay few."""
+    folder = "/root/testdata/sf0.1"
+    texts = [t for (t,) in duckdb.connect().execute(f"SELECT text FROM '{folder}/documents.parquet'").fetchall()]
+    whole = Encoder(ranks, max_pieces=10**9)
+    for i in range(0, len(texts), 500):
+        whole.encode(texts[i : i + 500])
+    met = {p for t in texts if t for p in pieces(t)}
+    assert set(whole.pieces) == {p for p in met if len(p) <= KEPT_LENGTH}
+    assert whole.transducer.pieces_read >= len(met) == len(whole.pieces) + sum(len(p) > KEPT_LENGTH for p in met)
+    assert whole.transducer.evictions == 0 and len(whole.transducer.states) < MAX_STATES
+
+
+@pytest.mark.parametrize("window", [1, 3])
+def test_long_pieces_in_windows(ranks, other, monkeypatch, window):
+    monkeypatch.setattr(bpe, "WINDOW", window)
+    monkeypatch.setattr(bpe, "LONG_PIECE", 2)
+    small = Encoder(ranks, max_states=20)
+    for text in [*ODD, "ab" * 40, "internationalisation", "Donaudampfschifffahrtsgesellschaft"]:
+        assert encode(small, [text]) == [other(text)]
+
+
+@PLAIN
+@given(texts=st.lists(st.none() | st.text("ab \t\n\r\x0b\x1c\x85\xa0\u2003\u3000é\u4e05", max_size=12), max_size=6))
+def test_units_are_cut_where_pieces_end(encoder, other, texts):
+    assert encode(encoder, texts) == [other(t or "") for t in texts]
+    assert encode(encoder, pa.array([None, "x y", *texts], pa.string())[2:]) == [other(t or "") for t in texts]
 
 
 def test_neighbours_agree_as_defined(encoder):
-    r, t = random.Random(1), encoder.transducer
+    r, t = random.Random(1), encoder.transducer.merges
     for _ in range(5000):
         a, b = r.randrange(len(t.bytes_of)), r.randrange(len(t.bytes_of))
         assert t.agree(a, b) == (t.merged(t.bytes_of[a] + t.bytes_of[b]) == [a, b])
