@@ -10,9 +10,10 @@ from tidemark.functions.columns import canonical_id, item_text, month_of_micros
 from tidemark.operators.eager import heavy_keys, join_states, key_states, roll_up
 from tidemark.operators.incremental import IncrementalTarget, last_successful_mark
 from tidemark.operators.intervals import gaps, periods
-from tidemark.operators.lsm import ChangeTable
+from tidemark.operators.lsm import ChangeTable, LateChange
 from tidemark.operators.orphans import Reference, find_orphans
 from tidemark.operators.seen import BLOCK, MessageKey, SeenMessages
+from tidemark.sources.manifest import Part, PartStore
 
 
 def rows(df):
@@ -141,27 +142,96 @@ def expected_state(made, upto=10**9):
     return sorted((i, r[0], r[3] if r[2] else None) for i, r in best.items() if r[1])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_change_table(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "split_rows"), [(1, 10**9), (2, 20)])
+def test_change_table(spark, tmp_path, seed, split_rows):
     made = changes(seed)
     df = spark.createDataFrame(made, CHANGE)
-    log = ChangeTable(spark, f"{tmp_path}/t", "id", "ts", "dead", ["payload"], fan_in=3)
+    log = ChangeTable(spark, f"{tmp_path}/t", "id", "ts", "dead", ["payload"], fan_in=3, buckets=5, split_rows=split_rows)
     with pytest.raises(LookupError):
         log.current()
-    log.append_runs(df.where("run < 4"), "run", "first")
-    log.append(df.where("run = 4"), "second")
-    log.append(df.where("run = 4"), "second")
+    log.append_runs(df.where("run < 4"), "run", "feed/1")
+    log.append(df.where("run = 4"), "feed/2")
+    log.append(df.where("run = 4"), "feed/2")
     assert len(log.store.current().parts) == 5
+    assert ("hot" in log.store.current().facts["split"]) == (split_rows == 20)
     assert rows(log.current()) == expected_state(made)
     assert rows(log.as_of(17)) == expected_state(made, 17)
     log.compact()
     assert len(log.store.current().parts) < 5
     assert rows(log.as_of(17)) == expected_state(made, 17)
-    log.append(df.limit(0), "nothing")
-    log.append(spark.createDataFrame([("a", 100, True, None, 0, ""), ("new", 1, None, "n", 0, "")], CHANGE), "third")
+    log.append(df.limit(0), "feed/3")
+    log.append(spark.createDataFrame([("a", 100, True, None, 0, ""), ("new", 1, None, "n", 0, "")], CHANGE), "feed/4")
     made += [("a", 100, True, None), ("new", 1, None, "n")]
-    log.compact(keep_history=False)
+    log.compact(horizon=30)
     assert rows(log.current()) == expected_state(made)
+    assert rows(log.as_of(35)) == expected_state(made, 35)
+
+
+MERGES = {"history": {}, "forgetting": {"horizon": 3}, "forgetting little": {"horizon": 1}}
+
+
+@pytest.mark.parametrize("merge", MERGES.values(), ids=MERGES)
+@pytest.mark.parametrize("split_rows", [1, 10**9])
+def test_what_was_deleted_stays_deleted(spark, tmp_path, merge, split_rows):
+    """Every batch repeated, under its own name or another, before and after a merge of all runs."""
+    one = lambda *r: spark.createDataFrame([(*x, "", 0, "") for x in r], CHANGE)
+    batches = {"b/1": one(("x", 1, False), ("y", 1, False)), "b/2": one(("x", 2, True)), "b/3": one(("z", 0, True), ("z", 0, None))}
+    log = ChangeTable(spark, f"{tmp_path}/t", "id", "ts", "dead", ["payload"], fan_in=2, buckets=3, split_rows=split_rows)
+    state = [("y", 1, ""), ("z", 0, "")]
+    for tag, batch in batches.items():
+        log.append(batch, tag)
+    for _ in range(2):
+        for tag, batch in batches.items():
+            log.append(batch, tag)
+            assert rows(log.current()) == state
+        log.compact(**merge)
+        assert rows(log.current()) == state
+    assert len(log.store.current().parts) == 1 and log.store.current().marks == {"b": ((1, 3),)}
+    for tag, batch in batches.items():
+        late = merge.get("horizon") is not None and batch.where(F.col("ts") < merge["horizon"]).count()
+        if late:
+            with pytest.raises(LateChange):
+                log.append(batch, f"again {tag}")
+        else:
+            log.append(batch, f"again {tag}")
+        assert rows(log.current()) == state
+    log.compact(**merge)
+    assert rows(log.current()) == state
+    if merge.get("horizon") == 3:
+        with pytest.raises(LookupError):
+            log.as_of(1)
+    else:
+        assert rows(log.as_of(1)) == [("x", 1, ""), *state]
+
+
+def test_runs_are_merged_where_they_lie(spark, tmp_path):
+    log = ChangeTable(spark, f"{tmp_path}/t", "id", "ts", "dead", ["payload"], buckets=3)
+    for n in range(3):
+        log.append(spark.createDataFrame(changes(n), CHANGE), f"feed/{n}")
+    plan = log.current()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    version = log.store.current()
+    assert "Exchange" not in log._merged(version, version.parts, 9, True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_marks_and_vacuum(spark, tmp_path):
+    store = PartStore(spark, f"{tmp_path}/t")
+    for n in (1, 2, 4, 3, 9):
+        store.publish(store.current(), (), f"s/{n}")
+    version = store.publish(store.current(), (), "alone")
+    assert store.current() == version and version.marks == {"s": ((1, 4), (9, 9)), "alone": ((0, 0),)}
+    assert version.holds("s/3") and version.holds("alone") and not version.holds("s/5") and not version.holds("s") and not version.holds("t/1")
+    paths = [store.new_part_path() for _ in range(3)]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    version = store.publish(version, (Part(paths[0], ""), Part(paths[1], "")))
+    version = store.publish(version, (Part(paths[1], ""),))
+    assert store.vacuum() == 0
+    assert store.vacuum(keep_versions=2, older_than=-5) > 0 and store.read(version.parts).count() == 3
+    assert {p.name for p in (tmp_path / "t/parts").iterdir()} == {p.rpartition("/")[2] for p in paths[:2]}
+    store.vacuum(older_than=-5)
+    assert [p.name for p in (tmp_path / "t/parts").iterdir()] == [paths[1].rpartition("/")[2]]
+    assert store.current() == version and store.publish(version, ()).number == version.number + 1
 
 
 # 5

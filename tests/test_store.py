@@ -79,10 +79,23 @@ def test_a_tag_is_committed_once_and_a_version_number_taken_once(spark, tmp_path
 def test_a_writer_that_died_does_not_block_the_next(spark, tmp_path):
     store = PartStore(spark, f"{tmp_path}/raw")
     (tmp_path / "raw/versions").mkdir(parents=True)
-    (tmp_path / "raw/versions/0000000001.claim").touch()
+    (tmp_path / "raw/versions/0000000001.claim0").touch()
     with pytest.raises(PublishConflict):
         store.publish(store.current(), ())
-    assert PartStore(spark, f"{tmp_path}/raw", stale_after=0).publish(store.current(), ()).number == 1
+    eager = PartStore(spark, f"{tmp_path}/raw", stale_after=0)
+    assert eager._claim(1) == 1  # one epoch on, and nobody else gets it
+    with pytest.raises(PublishConflict):
+        store.publish(store.current(), ())
+    assert eager.publish(store.current(), ()).number == 1
+
+
+def test_a_writer_that_was_taken_for_dead_publishes_nothing(spark, tmp_path, monkeypatch):
+    slow, other = PartStore(spark, f"{tmp_path}/raw"), PartStore(spark, f"{tmp_path}/raw", stale_after=0)
+    claim = slow._claim
+    monkeypatch.setattr(slow, "_claim", lambda number: (claim(number), other.publish(other.current(), (), "theirs"))[0])
+    with pytest.raises(PublishConflict):
+        slow.publish(slow.current(), (), "ours")
+    assert slow.current().marks == {"theirs": ((0, 0),)}
 
 
 def test_streaming_ingest_and_throughput(spark, tmp_path):

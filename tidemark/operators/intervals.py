@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, shuffle_width
+from tidemark.session import cut_lineage, width_for
 
 LO, HI, PART = "__start", "__end", "__part"
 
@@ -31,7 +31,7 @@ def _sorted(df: DataFrame, entity: Sequence[str], start: Column, end: Column) ->
     usable = slim.where(F.col(LO).isNotNull() & (F.col(HI) >= F.col(LO)))
     usable = usable.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in entity]))
     one = usable.groupBy(*entity, LO).agg(F.max(HI).alias(HI))
-    laid = one.repartitionByRange(shuffle_width(df.sparkSession), *entity, LO)
+    laid = one.repartitionByRange(width_for(one), *entity, LO)
     return cut_lineage(laid.withColumn(PART, F.spark_partition_id()))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, shuffle_width
+from tidemark.session import cut_lineage, width_for
 
 
 def postings(events: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def nearest_ranks(df: DataFrame, value: str, percents: Mapping[str, int], beside
     its range and one repeated value is one row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    laid = cut_lineage(counts.repartitionByRange(shuffle_width(df.sparkSession), "v").withColumn("part", F.spark_partition_id()))
+    laid = cut_lineage(counts.repartitionByRange(width_for(counts), "v").withColumn("part", F.spark_partition_id()))
     sizes = sorted((r.part, r.n) for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
     total = sum(n for _, n in sizes)
     if not total:

@@ -107,22 +107,32 @@ WITH i AS (SELECT DISTINCT {_CANON} AS id, {_MONTH} AS m FROM event_id_index WHE
 # 3. Applying a stream of inserts, updates, deletes
 
 
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    feed = table(spark, folder, "event_versions")
-    log = ChangeTable(spark, scratch_path(spark, "changes"), "id", "txn_ts", "is_deleted", ["start_time"])
+def _loads(feed: DataFrame) -> DataFrame:
+    """The feed with ``load_run``: its batches, in order, as RUNS_PER_LOAD + 1 runs."""
     span = feed.agg(F.min("batch_no").alias("lo"), F.max("batch_no").alias("hi")).first()
-    width = max(1, ((span.hi or 0) - (span.lo or 0)) // RUNS_PER_LOAD + 1)
+    width = max(1, ((span.hi or 0) - (span.lo or 0)) // (RUNS_PER_LOAD + 1) + 1)
     run = F.coalesce(F.floor((F.col("batch_no") - F.lit(span.lo or 0)) / F.lit(width)), F.lit(0))
-    log.append_runs(feed.withColumn("load_run", run.cast("int")), "load_run", "feed")
+    return feed.withColumn("load_run", run.cast("int"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The first runs are compacted before the last one comes; the read merges what is then there."""
+    feed = _loads(table(spark, folder, "event_versions"))
+    log = ChangeTable(spark, scratch_path(spark, "changes"), "id", "txn_ts", "is_deleted", ["start_time"], fan_in=RUNS_PER_LOAD)
+    log.append_runs(feed.where(F.col("load_run") < RUNS_PER_LOAD), "load_run", "feed/0")
+    log.compact()
+    log.append(feed.where(F.col("load_run") == RUNS_PER_LOAD), "feed/1")
     return log.current().select("id", "txn_ts", "start_time")
 
 
 def p3_compacted(spark: SparkSession, folder: str) -> DataFrame:
-    """The same state read after compaction of the runs, with the event's title and end."""
+    """The same state with the event's title and end, after a compaction that forgets what is superseded."""
     feed = table(spark, folder, "event_versions")
-    log = ChangeTable(spark, scratch_path(spark, "changes"), "id", "txn_ts", "is_deleted", ["start_time", "end_time", "title"])
-    log.append_runs(feed.withColumn("load_run", F.pmod(F.coalesce("batch_no", F.lit(0)), F.lit(RUNS_PER_LOAD))), "load_run", "feed")
-    log.compact(keep_history=False)
+    log = ChangeTable(
+        spark, scratch_path(spark, "changes"), "id", "txn_ts", "is_deleted", ["start_time", "end_time", "title"], fan_in=RUNS_PER_LOAD
+    )
+    log.append_runs(feed.withColumn("load_run", F.pmod(F.coalesce("batch_no", F.lit(0)), F.lit(RUNS_PER_LOAD))), "load_run", "feed/0")
+    log.compact(horizon=(feed.agg(F.max("txn_ts")).first()[0] or 0) + 1)
     return log.current().select("id", "txn_ts", "start_time", "end_time", "title")
 
 

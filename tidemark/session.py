@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: What the planner says of rows that do not come from files is beyond this.
+UNKNOWN_SIZE = 1 << 60
+MAX_WIDTH = 100_000
 
 
 def build_session(app: str = "tidemark", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -70,11 +73,28 @@ def _discard(spark: SparkSession, path: str) -> None:
         pass
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
+    """The rows, written to the shared folder and read from there; survives the loss of executors.
+
+    Unlike a checkpoint the table is columnar, so that readers take only what
+    they need, and it is deleted when the driver ends.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def width_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Into how many partitions to spread rows where Spark may not choose.
+
+    Enough for ``bytes_each`` of the files that the rows come from, and at least
+    the session's number of shuffle partitions.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(size for size in sizes if size < UNKNOWN_SIZE)
+    return min(MAX_WIDTH, max(shuffle_width(df.sparkSession), known // bytes_each))

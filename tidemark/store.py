@@ -21,7 +21,7 @@ from tidemark.model import EVENT, MUTABLE, VERSION
 from tidemark.operators import mutations
 from tidemark.operators.versions import newest, state
 from tidemark.plans.listing import Page, Request, page
-from tidemark.session import shuffle_width, use_utc
+from tidemark.session import use_utc, width_for
 from tidemark.sources.manifest import Part, PartStore, PublishConflict, Version
 
 # The greatest number of versions of levels 1, 2 and 3; the last has no limit.
@@ -89,16 +89,15 @@ class EventStore:
         from the newer log. A tag that was committed before is not committed
         again, so a repeated batch changes nothing.
         """
-        tag = tag or uuid.uuid4().hex
         for _ in range(TRIES):
             base = self.parts.current()
-            if any(tag in p.tag.split("+") for p in base.parts):
+            if tag and base.holds(tag):
                 return base.number
             txn = base.number + 1
             path = self.parts.new_part_path()
             make(self.log(base), txn).write.parquet(path)
             try:
-                return self.parts.publish(base, (*base.parts, self._part(path, tag, 0))).number
+                return self.parts.publish(base, (*base.parts, self._part(path, tag or "", 0)), tag).number
             except PublishConflict:
                 continue
         raise PublishConflict(f"no commit after {TRIES} tries")
@@ -160,8 +159,7 @@ class EventStore:
                 merged = newest(old).unionByName(merged.where(F.col("txn_ts") > forget_before))
             path = self.parts.new_part_path()
             order = [F.col("start_time").desc(), F.col("id").desc(), F.col("txn_ts").desc()]
-            merged.repartitionByRange(shuffle_width(self.spark), *order).sortWithinPartitions(*order).write.parquet(path)
+            merged.repartitionByRange(width_for(merged), *order).sortWithinPartitions(*order).write.parquet(path)
             rest = tuple(p for p in version.parts if p.level not in (level, level + 1))
-            tags = "+".join(sorted({t for p in (*here, *into) for t in p.tag.split("+")}))
-            version = self.parts.publish(version, (*rest, self._part(path, tags, level + 1)))
+            version = self.parts.publish(version, (*rest, self._part(path, f"level {level + 1}", level + 1)))
         return version
