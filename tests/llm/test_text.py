@@ -307,7 +307,7 @@ def test_types(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_words string")
     common = spark.createDataFrame([(w, "en") for w in ["the", "it", "was", "all", "and", "to", "in", "on", "we", "that", None]], "word string, lang string")
     got = {r.doc_id: r for r in quality.text_types(docs, common).collect()}
-    assert [got[k].text_type for k in (1, 2, 3, 4, None)] == ["prose", "not_prose", "empty", "empty", "not_prose"]
+    assert [got[k].text_type for k in (1, 2, 3, 4, None, 7)] == ["prose", "not_prose", "empty", "empty", "not_prose", "not_prose"]
     assert got[3].p_not_prose is None and got[1].p_not_prose == got[5].p_not_prose < 0.5
     ruled = quality.text_types(docs, common).where(quality.stated_rule())
     assert {r.doc_id for r in ruled.collect()} == {2, 7, None}
@@ -318,17 +318,64 @@ def test_types(spark):
 # the queries
 
 
-def test_what_is_learnt_shows_in_the_types_only(spark, monkeypatch):
-    found, types = (spark_rows(queries.QUERIES[name](spark, FOLDER)) for name in ("p10_found", "p10_types"))
+def test_found_comes_through_what_is_learnt(spark, monkeypatch):
+    """A model with its classes exchanged, or one that knows nothing, gives other rows."""
+    found = set(spark_rows(queries.QUERIES["p10_found"](spark, FOLDER))[1])
     learn = quality.learn
 
-    def turned(patterns, weights):
-        model = learn(patterns, weights)
+    def turned(*args, **more):
+        model = learn(*args, **more)
         return quality.VoteModel(model.prior[::-1], model.table[::-1])
 
-    monkeypatch.setattr(quality, "learn", turned)
-    assert spark_rows(queries.QUERIES["p10_found"](spark, FOLDER)) == found
-    assert spark_rows(queries.QUERIES["p10_types"](spark, FOLDER)) != types
+    for wrong in (turned, lambda patterns, weights, anchored: quality.VoteModel(np.array([0.9, 0.1]), np.full((2, patterns.shape[1], 3), 1 / 3))):
+        monkeypatch.setattr(quality, "learn", wrong)
+        assert set(spark_rows(queries.QUERIES["p10_found"](spark, FOLDER))[1]) < found
+
+
+def test_one_anchored_vote_outweighs_all_else():
+    functions = quality.votes()
+    assert quality.FLOOR ** (len(functions) + 1) / quality.ANCHOR > 1
+    anchored = [i for i, v in enumerate(functions) if v.anchored]
+    patterns = np.array(list(itertools.product(range(3), repeat=len(functions))))
+    against = (patterns[:, anchored] == quality.NOT_PROSE).any(axis=1)
+    rng = np.random.default_rng(3)
+    for _ in range(40):  # corpora of any kind, most of them far from what the functions are made for
+        weights = rng.random(len(patterns)) ** rng.integers(1, 60) * rng.choice([1, 1e9])
+        assert (quality.learn(patterns, weights, anchored=anchored).posterior(patterns)[against] > 0.5).all()
+
+
+def plain_posterior(rows):
+    """The same model written out for single documents: (votes, P(not prose)) of counts with at least one word."""
+    w, c, s, k, n, e = rows.T
+    cast = lambda against, other: np.where(against, 1, np.where(other, 0, 2))
+    clauses = [c >= 10 * w, 4 * s >= c, (100 * k < 15 * w) & (5 * e < n)]
+    votes = [*[cast(x, ~x) for x in clauses], cast(w < 4 * n, w >= 10 * n)]
+    held = lambda p: [0.01 + 0.97 * x / sum(p) for x in p]
+    good, bad = [held([0.7, 0.3, 0.5]) for _ in votes], [held([0.3, 0.7, 0.5]) for _ in votes]
+    prior = 0.5
+    for i in range(101):
+        if i:
+            prior = 0.01 + 0.98 * (p.sum() + 1e-9) / (len(p) + 2e-9)
+            good = [held([((1 - p) * (v == x)).sum() + 1e-9 for x in range(3)]) for v in votes]
+            bad = [held([(p * (v == x)).sum() + 1e-9 for x in range(3)]) for v in votes]
+        for clause in range(3):
+            good[clause][1] = 1e-12
+        one, other = np.full(len(rows), prior), np.full(len(rows), 1 - prior)
+        for v, g, b in zip(votes, good, bad):
+            one, other = one * np.array(b)[v], other * np.array(g)[v]
+        p = one / (one + other)
+    return p, np.logical_or.reduce(clauses)
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+def test_types_of_the_data(spark, scale):
+    """Against the model written out, and against the stated rule: every document of the rule is a candidate, and few others are."""
+    got = queries.p10_types(spark, f"/root/testdata/sf{scale}").where("n_words > 0").toPandas()
+    p, ruled = plain_posterior(got[list(quality.COUNTS)].to_numpy(float))
+    assert np.abs(got.p_not_prose.to_numpy() - p).max() < 2e-6
+    typed = (got.text_type == "not_prose").to_numpy()
+    assert (typed == (p >= 0.5)).all() and typed[ruled].all()
+    assert ruled.sum() / typed.sum() >= 0.9
 
 
 @pytest.mark.parametrize("name", queries.QUERIES)

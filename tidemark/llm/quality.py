@@ -6,12 +6,19 @@ accurate each is in either case is learnt by expectation-maximisation from where
 they agree, without labels, over all documents. As a document enters only by
 its votes, the corpus is reduced to a count for each pattern of votes, of which
 there are at most 3 to the power of the number of functions.
+
+Functions are taken to err independently, so thresholds on the same quantity, or
+on ones that go together, are one function. Those that state what is not prose
+are anchored: prose is held to hardly ever get their vote, however the rest
+turns out. With all other probabilities held above FLOOR, one such vote
+outweighs everything else together, so the posterior of a document that the
+stated rule calls not prose is never below one half.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +37,9 @@ COUNTS = ("n_words", "n_chars", "n_symbols", "n_common", "n_lines", "n_ended")
 MAX_COMMON_WORDS = 1_000_000
 MAX_KNOWN_WORDS = 300_000
 
+#: Least probability of a vote or a class, and that of an anchored function's vote against prose, given prose.
+FLOOR, ANCHOR = 0.01, 1e-12
+
 PROSE, NOT_PROSE, ABSTAIN = 0, 1, 2
 
 _WORD = re.compile(r"[^ \t\n\r]+")
@@ -104,27 +114,22 @@ def text_counts(documents: DataFrame, common_words: DataFrame, key: str = "doc_i
 
 @dataclass(frozen=True)
 class Vote:
-    """A labelling function: a condition for each side; where neither holds (or is null) it abstains."""
+    """A labelling function: a condition for each side; where neither holds (or is null) it abstains. An anchored one defines what is not prose."""
 
     name: str
     not_prose: Column
     prose: Column
+    anchored: bool = False
 
     def cast_as(self) -> Column:
         return F.when(self.not_prose, NOT_PROSE).when(self.prose, PROSE).otherwise(ABSTAIN)
 
 
 def votes() -> list[Vote]:
-    """Thresholds on the counts, compared in whole numbers."""
+    """Thresholds on the counts, compared in whole numbers: the clauses of the stated rule, and the words of a line."""
     w, c, s, k, n, e = (F.col(x) for x in COUNTS)
-    return [
-        Vote("word_length", c >= 10 * w, c <= 7 * w),
-        Vote("symbols", 4 * s >= c, 10 * s <= c),
-        Vote("common", 100 * k < 15 * w, 100 * k >= 30 * w),
-        Vote("endings", 5 * e < n, 2 * e >= n),
-        Vote("line_words", w < 4 * n, w >= 10 * n),
-        Vote("short_words", c < 3 * w, c >= 4 * w),
-    ]
+    clauses = {"word_length": c >= 10 * w, "symbols": 4 * s >= c, "plain_words": (100 * k < 15 * w) & (5 * e < n)}
+    return [*[Vote(name, clause, ~clause, anchored=True) for name, clause in clauses.items()], Vote("line_words", w < 4 * n, w >= 10 * n)]
 
 
 def stated_rule() -> Column:
@@ -151,27 +156,30 @@ class VoteModel:
         return odds[:, NOT_PROSE] / odds.sum(axis=1)
 
 
-def learn(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100, smoothing: float = 1.0) -> VoteModel:
+def _held(p: np.ndarray) -> np.ndarray:
+    """Probabilities along the last axis, none below FLOOR."""
+    return FLOOR + (1 - p.shape[-1] * FLOOR) * p / p.sum(axis=-1, keepdims=True)
+
+
+def learn(patterns: np.ndarray, weights: np.ndarray, rounds: int = 100, anchored: Sequence[int] = ()) -> VoteModel:
     """Expectation-maximisation over weighted patterns of votes; deterministic.
 
     It starts from every function being right in seven of ten votes, which
     settles which of the two classes is which. Without any pattern the start is
-    returned.
+    returned. Functions in ``anchored`` keep ANCHOR for a vote against prose.
     """
-    functions = patterns.shape[1]
+    functions, anchors = patterns.shape[1], list(anchored)
     table = np.full((2, functions, 3), 0.3)
     table[PROSE, :, PROSE] = table[NOT_PROSE, :, NOT_PROSE] = 0.7
     table[:, :, ABSTAIN] = 0.5
-    table /= table.sum(axis=2, keepdims=True)
-    model = VoteModel(np.array([0.5, 0.5]), table)
-    for _ in range(rounds if len(patterns) else 0):
-        other = model.posterior(patterns) * weights
-        shares = np.stack([weights - other, other])
-        fresh = np.full_like(model.table, smoothing)
-        for vote in (PROSE, NOT_PROSE, ABSTAIN):
-            fresh[:, :, vote] += shares @ (patterns == vote)
-        prior = shares.sum(axis=1) + smoothing
-        model = VoteModel(prior / prior.sum(), fresh / fresh.sum(axis=2, keepdims=True))
+    model = VoteModel(np.array([0.5, 0.5]), _held(table))
+    for number in range(rounds + 1 if len(patterns) else 1):
+        if number:
+            other = model.posterior(patterns) * weights
+            shares = np.stack([weights - other, other])
+            counted = np.stack([shares @ (patterns == vote) for vote in (PROSE, NOT_PROSE, ABSTAIN)], axis=2) + 1e-9
+            model = VoteModel(_held(shares.sum(axis=1) + 1e-9), _held(counted))
+        model.table[PROSE, anchors, NOT_PROSE] = ANCHOR
     return model
 
 
@@ -189,7 +197,8 @@ def text_types(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
     voted = cut_lineage(rows.select(key, *COUNTS, *[v.cast_as().alias(n) for v, n in zip(functions, names)]))
     seen = voted.where(F.col("n_words") > 0).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()
     patterns = np.array([r[:-1] for r in map(tuple, seen)], dtype=np.int64).reshape(-1, len(names))
-    model = learn(patterns, np.array([r.n for r in seen], dtype=float))
+    anchored = [i for i, v in enumerate(functions) if v.anchored]
+    model = learn(patterns, np.array([r.n for r in seen], dtype=float), anchored=anchored)
     # log-odds add up vote by vote, so the posterior is an expression and needs no join
     odds = np.log(model.prior[NOT_PROSE] / model.prior[PROSE])
     score = F.lit(float(odds))
@@ -198,5 +207,5 @@ def text_types(documents: DataFrame, common_words: DataFrame, key: str = "doc_id
         score = score + F.element_at(F.array(*[F.lit(float(x)) for x in ratios[n]]), F.col(name) + 1)
     some = F.col("n_words") > 0
     p = F.when(some, 1 / (1 + F.exp(-score)))
-    kind = F.when(~some, "empty").when(p >= 0.5, "not_prose").otherwise("prose")
+    kind = F.when(~some, "empty").when(score >= 0, "not_prose").otherwise("prose")
     return voted.withColumn("p_not_prose", p).withColumn("text_type", kind)

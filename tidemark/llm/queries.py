@@ -66,9 +66,9 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that the stated thresholds on the counts call not prose; the learnt types have no part in it."""
+    """Documents of the learnt type not_prose, of which the exact rule then keeps those that its thresholds call so; it can lose none by that."""
     typed = text_types(table(spark, folder, "documents"), table(spark, folder, "common_words"))
-    return typed.where(F.col("text_type") != "empty").where(stated_rule()).select("doc_id").distinct()
+    return typed.where(F.col("text_type") == "not_prose").where(stated_rule()).select("doc_id").distinct()
 
 
 def p10_stats(spark: SparkSession, folder: str) -> DataFrame:
