@@ -332,12 +332,18 @@ def test_seen_messages(spark, tmp_path):
             kept[d] = message not in seen
             seen.add(message)
     df = spark.createDataFrame(feed, "delivery bigint, producer string, number bigint, odd string, hi string")
-    state = SeenMessages(spark, f"{tmp_path}/s")
-    got = {}
-    for batch, (lo, hi) in enumerate([(0, 300), (300, 301), (301, 301), (301, 900)]):
-        shuffled = df.where(F.col("delivery").between(lo, hi - 1)).orderBy(F.rand(1))
-        got |= {x.delivery: x.kept for x in state.accept(shuffled, key, str(batch)).collect()}
+    state = SeenMessages(spark, f"{tmp_path}/s", merge_every=3)
+    got, cuts = {}, [(0, 300), (300, 301), (301, 301), (301, 900)]
+    part = lambda lo, hi: df.where(F.col("delivery").between(lo, hi - 1)).orderBy(F.rand(1))
+    for batch, cut in enumerate(cuts):
+        got |= {x.delivery: x.kept for x in state.accept(part(*cut), key, f"feed/{batch}").collect()}
     assert got == kept
+    # the batches come again, as after a failure behind the operator, and get what they got
+    for batch, cut in enumerate(cuts):
+        again = state.accept(part(*cut), key, f"feed/{batch}")
+        assert {x.delivery: x.kept for x in again.collect()} == {d: k for d, k in kept.items() if cut[0] <= d < cut[1]}
+    # and under another name nothing of them is new
+    assert not [x for x in state.accept(df, key, "other/0").collect() if x.kept]
     numbers = defaultdict(set)
     for x in state.ranges().collect():
         span = set(range(x.lo, x.hi + 1))
@@ -349,5 +355,19 @@ def test_seen_messages(spark, tmp_path):
             want[p].add(n)
     assert numbers == want
     assert state.ranges().count() < sum(map(len, want.values()))
+    state.forget("feed/0")
     with pytest.raises(ValueError):
-        state.accept(df, key, "0")
+        state.accept(df, key, "feed/0")
+
+
+def test_a_batch_that_dies_on_the_way_out_is_not_lost(spark, tmp_path, monkeypatch):
+    key = MessageKey(F.lit(None).cast("string"), F.lit(None).cast("bigint"), F.col("m"), F.col("d"))
+    batch = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "d bigint, m string")
+    state = SeenMessages(spark, f"{tmp_path}/s", buckets=2)
+    publish = state.store.publish
+    monkeypatch.setattr(state.store, "publish", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):  # before it was published: as if it had never come
+        state.accept(batch, key, "b/1")
+    monkeypatch.setattr(state.store, "publish", publish)
+    state.accept(batch, key, "b/1")  # published, and the caller dies before it reads
+    assert rows(SeenMessages(spark, f"{tmp_path}/s").accept(batch, key, "b/1")) == [(1, True), (2, False), (3, True)]

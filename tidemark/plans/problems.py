@@ -201,7 +201,7 @@ WITH e AS (SELECT resource.type_code AS type_code, resource.external_id AS exter
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the initial dump carry serial ids and no update stamp: those are numbered; stamped ones have exact keys."""
+    """Rows of the initial dump carry serial ids and no update stamp: those are numbered, by the one source they come from; stamped ones have exact keys."""
     dump = table(spark, folder, "event_dump").select("id", "updated_at", "delivery_no")
     stamp = F.coalesce(F.col("updated_at"), F.lit(0))
     key = MessageKey(
@@ -214,8 +214,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     span = messages.agg(F.min("delivery_no").alias("lo"), F.max("delivery_no").alias("hi")).first()
     half = ((span.lo or 0) + (span.hi or 0)) // 2
     seen = SeenMessages(spark, scratch_path(spark, "seen"))
-    early = seen.accept(messages.where(F.col("delivery_no") <= half), key, "early")
-    late = seen.accept(messages.where(F.col("delivery_no") > half), key, "late")
+    early = seen.accept(messages.where(F.col("delivery_no") <= half), key, "dump/0")
+    late = seen.accept(messages.where(F.col("delivery_no") > half), key, "dump/1")
     return early.unionByName(late).where(~F.col("kept")).select(F.col("delivery").alias("delivery_no"))
 
 
