@@ -245,10 +245,38 @@ def test_leaks(spark, shard_words):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "ITEMS_AT_ONCE", 2)
+    """Items in several blocks go through one index, which is read once."""
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 10)
     d = spark.createDataFrame([(1, "a b c d e f"), (2, "c d e")], "doc_id bigint, text string")
     e = spark.createDataFrame([(i, p) for i, p in enumerate(["a b c", "c d e", "x y z", "d e f", "b c d"])], "item_id bigint, passage string")
-    assert {tuple(x) for x in leakage.leaked_items(d, e, size=3).collect()} == {(1, 0), (1, 1), (1, 3), (1, 4), (2, 1)}
+    assert len(list(leakage._item_blocks(e, "item_id", "passage"))) == 3
+    found = leakage.leaked_items(d, e, size=3)
+    assert {tuple(x) for x in found.collect()} == {(1, 0), (1, 1), (1, 3), (1, 4), (2, 1)}
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("FileScan") == plan.count("MapInArrow") == 1
+
+
+def test_an_index_is_kept(spark, tmp_path):
+    """Written once, it is opened later and searched for items that were not there then."""
+    docs = [(i, t) for i, t in documents() if t]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    leakage.index_corpus(d, size=4, shard_words=3000, path=f"{tmp_path}/index")
+    later = [(n, " ".join(leakage.words(docs[n][1])[n : n + 9]).upper()) for n in range(0, 60, 7)]
+    index = spark.read.parquet(f"{tmp_path}/index")
+    found = {tuple(x) for x in leakage.search_items(index, spark.createDataFrame(later, "item_id bigint, passage string"), size=5).collect()}
+    assert found == brute_leaks(docs, later, 5)[0] and found
+
+
+@PLAIN
+@given(symbols=st.lists(st.integers(0, 5), min_size=1, max_size=80))
+def test_an_index_as_bytes(symbols):
+    index = FMIndex(np.array([*symbols, 0], np.int32), 6)
+    again = FMIndex.from_bytes(index.to_bytes())
+    patterns = np.array(list(itertools.product(range(1, 6), repeat=2)), np.int64)
+    for a, b in zip(index.ranges(patterns), again.ranges(patterns)):
+        assert (a == b).all()
+    rows = np.arange(index.size)
+    assert (index.locate(rows) == again.locate(rows)).all()
 
 
 def test_leaks_of_the_data(spark):

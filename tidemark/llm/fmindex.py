@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 SEPARATOR = 0
@@ -56,16 +58,19 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
 class _Bits:
     """A bit vector with ranks in constant time."""
 
-    def __init__(self, bits: np.ndarray):
-        size = (len(bits) // 64 + 1) * 8
-        packed = np.zeros(size, np.uint8)
-        raw = np.packbits(bits, bitorder="little")
-        packed[: len(raw)] = raw
-        self.words = packed.view("<u8")
-        ones = np.bitwise_count(self.words).astype(np.int64)
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        ones = np.bitwise_count(words).astype(np.int64)
         self.before = np.concatenate([[0], np.cumsum(ones)])[:-1]
         self.ones = int(ones.sum())
 
+    @classmethod
+    def of(cls, bits: np.ndarray) -> _Bits:
+        packed = np.zeros((len(bits) // 64 + 1) * 8, np.uint8)
+        raw = np.packbits(bits, bitorder="little")
+        packed[: len(raw)] = raw
+        return cls(packed.view("<u8"))
+
     def rank(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         word = at >> 6
@@ -79,18 +84,22 @@ class _Bits:
 class Wavelet:
     """A wavelet matrix: one bit vector for each bit of a symbol, highest first."""
 
-    def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.depth = max(1, int(n_symbols - 1).bit_length())
-        self.levels: list[_Bits] = []
-        self.zeros: list[int] = []
-        for level in range(self.depth):
-            bit = (symbols >> (self.depth - 1 - level)) & 1 == 1
-            self.levels.append(_Bits(bit))
-            self.zeros.append(len(symbols) - self.levels[-1].ones)
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+    def __init__(self, levels: list[_Bits], size: int, n_symbols: int):
+        self.levels, self.depth = levels, len(levels)
+        self.zeros = [size - level.ones for level in levels]
         every = np.arange(n_symbols)
         self.begin = self._down(every, np.zeros(n_symbols, np.int64))
 
+    @classmethod
+    def of(cls, symbols: np.ndarray, n_symbols: int) -> Wavelet:
+        size, depth = len(symbols), max(1, int(n_symbols - 1).bit_length())
+        levels = []
+        for level in range(depth):
+            bit = (symbols >> (depth - 1 - level)) & 1 == 1
+            levels.append(_Bits.of(bit))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+        return cls(levels, size, n_symbols)
+
     def _down(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, bits in enumerate(self.levels):
             one = bits.rank(at)
@@ -112,17 +121,33 @@ class Wavelet:
 
 
 class FMIndex:
-    """Symbols of several texts, each ended by SEPARATOR."""
+    """Symbols of several texts, each ended by SEPARATOR. It can be written as bytes and read again."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.size = len(symbols)
         order = suffix_order(symbols)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=n_symbols))])
         before = np.where(order > 0, symbols[order - 1], SEPARATOR)
-        self.wavelet = Wavelet(before, n_symbols)
         # a walk back must not leave its text, so the texts' starts are sampled too
         kept = (order % SAMPLE == 0) | (before == SEPARATOR)
-        self.kept, self.samples = _Bits(kept), order[kept]
+        self._hold(np.bincount(symbols, minlength=n_symbols), Wavelet.of(before, n_symbols), _Bits.of(kept), order[kept].astype(np.int32))
+
+    def _hold(self, counts: np.ndarray, wavelet: Wavelet, kept: _Bits, samples: np.ndarray) -> None:
+        self.first = np.concatenate([[0], np.cumsum(counts)])
+        self.size, self.wavelet, self.kept, self.samples = int(self.first[-1]), wavelet, kept, samples
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        levels = np.stack([level.words for level in self.wavelet.levels])
+        np.savez(out, counts=np.diff(self.first).astype(np.int32), levels=levels, kept=self.kept.words, samples=self.samples)
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> FMIndex:
+        index = cls.__new__(cls)
+        with np.load(io.BytesIO(raw), allow_pickle=False) as held:
+            counts = held["counts"].astype(np.int64)
+            wavelet = Wavelet([_Bits(words) for words in held["levels"]], int(counts.sum()), len(counts))
+            index._hold(counts, wavelet, _Bits(held["kept"]), held["samples"])
+        return index
 
     def ranges(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffix order that begin with each pattern (one in each line): [low, high)."""
