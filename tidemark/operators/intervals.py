@@ -1,9 +1,9 @@
 """Merging overlapping intervals of an entity and listing the gaps.
 
 Intervals are globally range-sorted by (entity, start), so that an entity with a
-third of all rows is spread over many partitions. Each partition is summarised
-by its greatest end for each entity; the summaries are prefix-combined over the
-partitions, and each partition is rescanned with the greatest end that precedes
+third of all rows is spread over many ranges. Each range is summarised by its
+greatest end for each entity; the summaries are prefix-combined over the ranges,
+and each range is rescanned, where it lies, with the greatest end that precedes
 it. A start beyond everything before it opens a new period.
 """
 
@@ -15,50 +15,54 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, width_for
+from tidemark.session import scratch_path, width_for
+from tidemark.sources.slots import SLOT, read_slots, write_slots
 
-LO, HI, PART = "__start", "__end", "__part"
+LO, HI = "__start", "__end"
+#: Ranges to a bucket. Ranges are spread over buckets by a hash, which evens out the better the more there are.
+RANGES_EACH = 4
 
 
 def _sorted(df: DataFrame, entity: Sequence[str], start: Column, end: Column) -> DataFrame:
-    """Usable intervals, one for each (entity, start), range-sorted, with the number of their partition.
+    """Usable intervals, one for each (entity, start), range-sorted, with the number of their range as SLOT.
 
     Of equal starts only the greatest end can matter; reducing to it before the
     shuffle keeps a start that is repeated millions of times from filling one
-    range, which cannot be split within equal keys.
+    range, which cannot be split within equal keys. The layout is written, so
+    that what follows finds each range whole and moves no row.
     """
     slim = df.select(*[F.col(c) for c in entity], start.alias(LO), end.alias(HI))
     usable = slim.where(F.col(LO).isNotNull() & (F.col(HI) >= F.col(LO)))
     usable = usable.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in entity]))
     one = usable.groupBy(*entity, LO).agg(F.max(HI).alias(HI))
-    laid = one.repartitionByRange(width_for(one), *entity, LO)
-    return cut_lineage(laid.withColumn(PART, F.spark_partition_id()))
+    buckets, path, order = width_for(one), scratch_path(df.sparkSession, "intervals"), [*entity, LO]
+    laid = one.repartitionByRange(RANGES_EACH * buckets, *order).withColumn(SLOT, F.spark_partition_id())
+    write_slots(laid, path, buckets, order)
+    return read_slots(df.sparkSession, [path], laid.schema, buckets, order)
 
 
-def _same(entity: Sequence[str]) -> Window:
-    return Window.partitionBy(PART, *entity).orderBy(F.col(LO).asc_nulls_first())
+def _with_carry(rows: DataFrame, entity: Sequence[str], value: Column, combine: Callable[[Column], Column]) -> DataFrame:
+    """Rows with ``__carry``: the combined ``value`` of the entity's earlier ranges, null in its first.
 
+    Only the first entity of a range can have earlier ones, so there is at most
+    one carry for each range, and they are broadcast.
+    """
+    summary = rows.groupBy(SLOT, *entity).agg(value.alias("__sum"))
+    before = Window.partitionBy(*entity).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summary.select(SLOT, *entity, combine(F.col("__sum")).over(before).alias("__carry")).where(F.col("__carry").isNotNull())
+    return rows.join(F.broadcast(carry), [SLOT, *entity], "left")
 
-def _carried(rows: DataFrame, entity: Sequence[str], value: Column, combine: Callable[[Column], Column]) -> DataFrame:
-    """For each (partition, entity): the combined ``value`` of the entity's earlier partitions, null in its first."""
-    summary = rows.groupBy(PART, *entity).agg(value.alias("__sum"))
-    before = Window.partitionBy(*entity).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(PART, *entity, combine(F.col("__sum")).over(before).alias("__carry"))
 
+def _upto(entity: Sequence[str], last: int) -> Window:
+    """The rows of the entity in its range, up to the current one or the one before it."""
+    return Window.partitionBy(SLOT, *entity).orderBy(LO).rowsBetween(Window.unboundedPreceding, last)
 
-def open_periods(df: DataFrame, entity: Sequence[str], start: Column, end: Column) -> DataFrame:
-    """Each interval with ``__before``, the greatest end of all earlier ones of its entity (null for the first).
 
-    The carry of a partition enters as one more row that sorts before all
-    others, so the rescan needs no join: one window over (partition, entity),
-    whose groups are never larger than a partition.
-    """
-    rows = _sorted(df, entity, start, end)
-    carry = _carried(rows, entity, F.max(HI), F.max).where(F.col("__carry").isNotNull())
-    marks = carry.select(*entity, F.lit(None).cast("bigint").alias(LO), F.col("__carry").alias(HI), PART)
-    earlier = _same(entity).rowsBetween(Window.unboundedPreceding, -1)
-    scanned = rows.select(*entity, LO, HI, PART).unionByName(marks).withColumn("__before", F.max(HI).over(earlier))
-    return scanned.where(F.col(LO).isNotNull())
+def open_periods(df: DataFrame, entity: Sequence[str], start: Column, end: Column) -> DataFrame:
+    """Each interval with ``__before``, the greatest end of all earlier ones of its entity (null for the first)."""
+    rows = _with_carry(_sorted(df, entity, start, end), entity, F.max(HI), F.max)
+    # greatest() passes over nulls
+    return rows.withColumn("__before", F.greatest(F.max(HI).over(_upto(entity, -1)), F.col("__carry"))).drop("__carry")
 
 
 def gaps(df: DataFrame, entity: Sequence[str], start: Column, end: Column) -> DataFrame:
@@ -78,20 +82,11 @@ def periods(df: DataFrame, entity: Sequence[str], start: Column, end: Column) ->
     """Merged periods of each entity: entity, period_no (from 1), start_us, end_us.
 
     Rows are treated as in :func:`gaps`. Periods are numbered by a second prefix
-    combination: those opened in earlier partitions plus those opened so far.
+    combination: those opened in earlier ranges plus those opened so far.
     Grouping by number is pre-aggregated, so one period may hold any number of rows.
     """
-    flagged = open_periods(df, entity, start, end).withColumn(
-        "__opens", (F.col("__before").isNull() | (F.col("__before") < F.col(LO))).cast("bigint")
-    )
-    flagged = cut_lineage(flagged)
-    carry = _carried(flagged, entity, F.sum("__opens"), F.sum).withColumnRenamed("__carry", "__opens").where(F.col("__opens").isNotNull())
-    marks = carry.select(*entity, F.lit(None).cast("bigint").alias(LO), F.lit(None).cast("bigint").alias(HI), PART, "__opens")
-    upto = _same(entity).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        flagged.select(*entity, LO, HI, PART, "__opens")
-        .unionByName(marks)
-        .withColumn("period_no", F.sum("__opens").over(upto))
-        .where(F.col(LO).isNotNull())
-    )
+    opens = F.col("__before").isNull() | (F.col("__before") < F.col(LO))
+    flagged = open_periods(df, entity, start, end).withColumn("__opens", opens.cast("bigint"))
+    counted = _with_carry(flagged, entity, F.sum("__opens"), F.sum)
+    numbered = counted.withColumn("period_no", F.sum("__opens").over(_upto(entity, 0)) + F.coalesce("__carry", F.lit(0)))
     return numbered.groupBy(*entity, "period_no").agg(F.min(LO).alias("start_us"), F.max(HI).alias("end_us"))
