@@ -16,6 +16,12 @@ EVENT = T.StructType(
         T.StructField("end_time", T.TimestampNTZType()),
         T.StructField("tags", T.ArrayType(T.StringType())),
         T.StructField("annotations", T.MapType(T.StringType(), T.StringType())),
+        # kept as they are given; nothing here reads or sets them
+        T.StructField("created_by", T.StringType()),
+        T.StructField("updated_by", T.StringType()),
+        T.StructField("create_time", T.TimestampNTZType()),
+        T.StructField("update_time", T.TimestampNTZType()),
+        T.StructField("delete_time", T.TimestampNTZType()),
     ]
 )
 

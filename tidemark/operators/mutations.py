@@ -40,6 +40,11 @@ def created(events: DataFrame, txn_ts: int, at_ms: int | None = None, salt: str
     return _as_versions(events, txn_ts, False)
 
 
+def _of(log: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the log whose id is in ``__id``."""
+    return log.join(ids.select("__id"), F.col("id") == F.col("__id"), "left_semi")
+
+
 def updated(log: DataFrame, changes: DataFrame, mask: Sequence[str], txn_ts: int) -> DataFrame:
     """New versions for the rows of ``changes``, which name existing events by id.
 
@@ -48,11 +53,15 @@ def updated(log: DataFrame, changes: DataFrame, mask: Sequence[str], txn_ts: int
     whose start really moved also gets a tombstone at its old key, at the same
     commit. Changes to ids that do not exist give nothing; of several changes
     to one id, which would be ambiguous, one alone must be given.
+
+    ``log`` may also be a state. It is reduced to the ids that change before it
+    is resolved; few changes are thereby found without moving the log.
     """
     fields = [m for m in MUTABLE if m in mask]
     fresh = changes.select(F.col("id").alias("__id"), *[F.col(m).alias(f"__{m}") for m in fields])
-    both = state(log).join(fresh, F.col("id") == F.col("__id"))
-    merged = both.select(*[F.col(f"__{f.name}").alias(f.name) if f.name in fields else F.col(f.name) for f in VERSION], F.col("start_time").alias("__old"))
+    both = state(_of(log, fresh)).join(fresh, F.col("id") == F.col("__id"))
+    there = [f.name for f in VERSION if f.name in log.columns]
+    merged = both.select(*[F.col(f"__{c}").alias(c) if c in fields else F.col(c) for c in there], F.col("start_time").alias("__old"))
     live = _as_versions(merged, txn_ts, False)
     if "start_time" not in fields:
         return live
@@ -63,5 +72,5 @@ def updated(log: DataFrame, changes: DataFrame, mask: Sequence[str], txn_ts: int
 def deleted(log: DataFrame, ids: DataFrame, txn_ts: int) -> DataFrame:
     """A tombstone, without payload, for each existing event that ``ids`` (column id) names; repeats count once."""
     gone = ids.select(F.col("id").alias("__id"))
-    found = state(log).join(gone, F.col("id") == F.col("__id"), "left_semi")
+    found = state(_of(log, gone))
     return _as_versions(found.select("id", "resource", "start_time"), txn_ts, True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,19 +44,57 @@ def state(log: DataFrame, as_of: int | None = None, ties: Sequence[str] = ()) ->
     return live(newest(visible(log, as_of), ties))
 
 
+#: Ids up to this number are broadcast to what they replace; more are joined by shuffle.
+BROADCAST_IDS = 200_000
+
+
+@dataclass(frozen=True)
+class Snapshots:
+    """A log, with its state as of commit ``at`` kept beside it, one row an id, and the part of the log after that.
+
+    Any snapshot from ``at`` on is the kept state without the ids that changed
+    since, and what these are now. So filters on times and payload go to the scan
+    of the kept state, where the files are laid out by start, and only the
+    changes since are resolved. Older snapshots resolve the whole log.
+    """
+
+    log: DataFrame
+    current: DataFrame | None = None
+    at: int = 0
+    since: DataFrame | None = None
+    n_since: int = 0
+
+    def state(self, as_of: int | None = None) -> DataFrame:
+        """As :func:`state` of the log."""
+        if self.current is None or (as_of is not None and as_of < self.at):
+            return state(self.log, as_of)
+        if self.since is None:
+            return self.current
+        changed = newest(visible(self.since, as_of))
+        ids = changed.select(F.col("id").alias("__id"))
+        ids = F.broadcast(ids) if self.n_since <= BROADCAST_IDS else ids
+        kept = self.current.join(ids, F.col("id") == F.col("__id"), "left_anti")
+        return kept.unionByName(live(changed))
+
+
+def state_of(log: DataFrame | Snapshots, as_of: int | None = None) -> DataFrame:
+    return log.state(as_of) if isinstance(log, Snapshots) else state(log, as_of)
+
+
 def overlaps(start: datetime.datetime | None, end: datetime.datetime | None) -> Column:
     """Whether an event overlaps [start, end], both inclusive, in whole seconds; None is unbounded.
 
     Written so that the bounds are literals beside bare columns, which Parquet
-    statistics can use. An event with a null bound fails a test of that bound.
+    statistics can use. An event with a null bound fails a test of that bound,
+    as the condition is then null.
     """
     test = F.lit(True)
     if end is not None:
         upper = end.replace(microsecond=0) + datetime.timedelta(seconds=1)
-        test = test & F.coalesce(F.col("start_time") < F.lit(upper).cast("timestamp_ntz"), F.lit(False))
+        test = test & (F.col("start_time") < F.lit(upper).cast("timestamp_ntz"))
     if start is not None:
         lower = start.replace(microsecond=0)
-        test = test & F.coalesce(F.col("end_time") >= F.lit(lower).cast("timestamp_ntz"), F.lit(False))
+        test = test & (F.col("end_time") >= F.lit(lower).cast("timestamp_ntz"))
     return test
 
 

@@ -15,6 +15,8 @@ from tidemark.operators import versions as v
 from tidemark.plans.cursor import PageToken, decode, encode
 
 EPOCH = datetime.datetime(1970, 1, 1)
+#: A page is collected, so its size is bounded; longer results are what ``listed`` is for.
+MAX_PAGE_SIZE = 10_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def request_fields(message: Mapping[str, Any]) -> dict[str, Any]:
     }
 
 
-def matching(log: DataFrame, request: Request) -> DataFrame:
+def matching(log: DataFrame | v.Snapshots, request: Request) -> DataFrame:
     """All matching events of the snapshot, unordered.
 
     The filter applies to the newest visible version of an event, never to one
@@ -65,13 +67,13 @@ def matching(log: DataFrame, request: Request) -> DataFrame:
     """
     token = decode(request.page_token) if request.page_token else None
     as_of = token.as_of if token and token.as_of is not None else request.as_of
-    found = v.state(log, as_of).where(v.overlaps(request.start, request.end)).where(compile_filter(request.filter, mode=request.mode))
+    found = v.state_of(log, as_of).where(v.overlaps(request.start, request.end)).where(compile_filter(request.filter, mode=request.mode))
     if token:
         found = found.where(v.at_or_after(EPOCH + datetime.timedelta(microseconds=token.start_us), token.id))
     return found
 
 
-def listed(log: DataFrame, request: Request) -> DataFrame:
+def listed(log: DataFrame | v.Snapshots, request: Request) -> DataFrame:
     """Matching events, newest first; with a page size at most that many."""
     found = v.newest_first(matching(log, request))
     if request.page_size is None:
@@ -81,16 +83,18 @@ def listed(log: DataFrame, request: Request) -> DataFrame:
     return found.limit(request.page_size)
 
 
-def page(log: DataFrame, request: Request, payload: tuple[str, ...] | None = None) -> Page:
+def page(log: DataFrame | v.Snapshots, request: Request, payload: tuple[str, ...] | None = None) -> Page:
     """One page and the token of the next, empty after the last.
 
-    The page is cut on keys alone. Its payload is fetched for these keys, at
-    most ``page_size`` + 1 of them, which is what bounds the broadcast.
+    The page is cut on keys alone. Its payload is fetched for these ids, a
+    condition that goes below the resolution, to the scan.
     """
     if request.page_size is None:
         raise ValueError("a page needs a page_size")
+    if not 1 <= request.page_size <= MAX_PAGE_SIZE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE_SIZE} events")
     if request.as_of is None and not request.page_token:
-        newest = log.agg(F.max("txn_ts")).first()[0]
+        newest = (log.log if isinstance(log, v.Snapshots) else log).agg(F.max("txn_ts")).first()[0]
         request = replace(request, as_of=newest if newest is not None else 0)
     keys = listed(log, replace(request, page_size=request.page_size + 1)).select("id", "start_time", "txn_ts", "resource").collect()
     token = ""
@@ -102,8 +106,7 @@ def page(log: DataFrame, request: Request, payload: tuple[str, ...] | None = Non
         token = encode(PageToken((owner and owner.type_code) or "", (owner and owner.external_id) or "", us, key.id, as_of))
     if not keys:
         return Page([], token)
-    wanted = log.sparkSession.createDataFrame([(k.id, k.txn_ts) for k in keys], "__id string, __txn bigint")
-    rows = log.join(F.broadcast(wanted), (F.col("id") == F.col("__id")) & (F.col("txn_ts") == F.col("__txn")), "left_semi")
-    rows = v.live(rows.select(*payload, "id", "is_deleted", "start_time", "txn_ts") if payload else rows)
-    by_id = {r.id: r for r in v.newest(rows).collect()}
+    as_of = decode(request.page_token).as_of if request.page_token else request.as_of
+    rows = v.state_of(log, as_of if as_of is not None else request.as_of).where(F.col("id").isin([k.id for k in keys]))
+    by_id = {r.id: r for r in (rows.select(*dict.fromkeys((*payload, "id"))) if payload else rows).collect()}
     return Page([by_id[k.id] for k in keys if k.id in by_id], token)

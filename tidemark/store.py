@@ -4,7 +4,9 @@ The log is Parquet parts under one root, published by numbered manifests; the
 number of the manifest that publishes a commit is its timestamp, so timestamps
 grow, are unique, and a snapshot is a number. New parts are pending (level 0).
 Compaction folds them into level 1 and promotes a level that has outgrown its
-limit into the next; all versions are kept unless told otherwise.
+limit into the next; all versions are kept unless told otherwise. Beside the log
+the state as of a commit is kept, laid out by start, which compaction renews:
+reads of later snapshots take it and resolve only what was committed since.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.model import EVENT, MUTABLE, VERSION
 from tidemark.operators import mutations
-from tidemark.operators.versions import newest, state
+from tidemark.operators.versions import Snapshots, newest
 from tidemark.plans.listing import Page, Request, page
 from tidemark.session import use_utc, width_for
 from tidemark.sources.manifest import Part, PartStore, PublishConflict, Version
@@ -27,6 +29,7 @@ from tidemark.sources.manifest import Part, PartStore, PublishConflict, Version
 # The greatest number of versions of levels 1, 2 and 3; the last has no limit.
 LEVEL_LIMITS = (256_000, 1_024_000, 4_096_000)
 TRIES = 8
+MAX_LOOKUP = 10_000
 
 
 class UnknownEvent(LookupError):
@@ -47,23 +50,38 @@ class EventStore:
             return self.spark.createDataFrame([], VERSION)
         return self.spark.read.schema(VERSION).parquet(*[p.path for p in found])
 
+    def snapshots(self, version: Version | None = None) -> Snapshots:
+        """The log with the state that is kept beside it."""
+        version = version or self.parts.current()
+        kept = version.facts.get("current")
+        if not kept:
+            return Snapshots(self.log(version))
+        later = tuple(p for p in version.parts if p.until > kept["at"])
+        since = self.log(Version(parts=later)).where(F.col("txn_ts") > kept["at"]) if later else None
+        current = self.spark.read.schema(VERSION).parquet(kept["path"])
+        # merged parts may hold older versions too, so this is at least the number of later ones
+        return Snapshots(self.log(version), current, kept["at"], since, sum(p.rows for p in later))
+
     def snapshot(self) -> int:
         """The timestamp of the newest commit; 0 before the first."""
         return self.parts.current().number
 
     def events(self, as_of: int | None = None) -> DataFrame:
-        return state(self.log(), as_of)
+        return self.snapshots().state(as_of)
 
     def list(self, **request: Any) -> Page:
         """One page; takes the fields of :class:`Request`, of which page_size must be given."""
         asked = Request(**request)
         if asked.as_of is None and not asked.page_token:
             asked = Request(**{**request, "as_of": self.snapshot()})
-        return page(self.log(), asked)
+        return page(self.snapshots(), asked)
 
     def lookup(self, ids: Iterable[str], as_of: int | None = None) -> DataFrame:
-        """Events with these ids; the filter on the chain's key goes below the resolution, to the scan."""
-        return state(self.log().where(F.col("id").isin(list(ids))), as_of)
+        """Events with these ids, at most MAX_LOOKUP; the filter on the chain's key goes below the resolution, to the scan."""
+        wanted = list(ids)
+        if len(wanted) > MAX_LOOKUP:
+            raise ValueError(f"more than {MAX_LOOKUP} ids: join with events() instead")
+        return self.snapshots().state(as_of).where(F.col("id").isin(wanted))
 
     def statistics(self) -> dict[str, Any]:
         """Versions pending, in each pending part and in each level, from the manifest alone."""
@@ -80,13 +98,20 @@ class EventStore:
             "level_cardinalities": levels,
         }
 
+    def level_table(self) -> DataFrame:
+        """level, part, n_versions: each pending part by itself (level 0), then each level that has any; one row a part of the manifest."""
+        parts = self.parts.current().parts
+        pending = [(0, i, p.rows) for i, p in enumerate(p for p in parts if p.level == 0)]
+        levels = [(level, 0, n) for level, n in self.statistics()["level_cardinalities"].items() if n]
+        return self.spark.createDataFrame([*pending, *levels], "level int, part int, n_versions bigint")
+
     # writing
 
     def commit(self, make, tag: str | None = None) -> int:
-        """Append what ``make(log, timestamp)`` returns, and return the timestamp.
+        """Append what ``make(state, timestamp)`` returns, and return the timestamp.
 
         If another writer takes that number first, the versions are made anew
-        from the newer log. A tag that was committed before is not committed
+        from the newer state. A tag that was committed before is not committed
         again, so a repeated batch changes nothing.
         """
         for _ in range(TRIES):
@@ -95,15 +120,15 @@ class EventStore:
                 return base.number
             txn = base.number + 1
             path = self.parts.new_part_path()
-            make(self.log(base), txn).write.parquet(path)
+            make(self.snapshots(base).state(), txn).write.parquet(path)
             try:
-                return self.parts.publish(base, (*base.parts, self._part(path, tag or "", 0)), tag).number
+                return self.parts.publish(base, (*base.parts, self._part(path, tag or "", 0, txn)), tag).number
             except PublishConflict:
                 continue
         raise PublishConflict(f"no commit after {TRIES} tries")
 
-    def _part(self, path: str, tag: str, level: int) -> Part:
-        return Part(path, tag, level, self.spark.read.parquet(path).count())  # from the footers
+    def _part(self, path: str, tag: str, level: int, until: int) -> Part:
+        return Part(path, tag, level, self.spark.read.parquet(path).count(), until)  # from the footers
 
     def create(self, events: DataFrame, tag: str | None = None, assign_ids: bool = True) -> int:
         at = int(time.time() * 1000) if assign_ids else None
@@ -161,5 +186,16 @@ class EventStore:
             order = [F.col("start_time").desc(), F.col("id").desc(), F.col("txn_ts").desc()]
             merged.repartitionByRange(width_for(merged), *order).sortWithinPartitions(*order).write.parquet(path)
             rest = tuple(p for p in version.parts if p.level not in (level, level + 1))
-            version = self.parts.publish(version, (*rest, self._part(path, f"level {level + 1}", level + 1)))
-        return version
+            until = max(p.until for p in (*here, *into))
+            version = self.parts.publish(version, (*rest, self._part(path, f"level {level + 1}", level + 1, until)))
+        return self._keep_state(version)
+
+    def _keep_state(self, version: Version) -> Version:
+        """Write the newest state beside the log, from the one that is there and what came since."""
+        newest_commit = max((p.until for p in version.parts), default=0)
+        if not newest_commit or version.facts.get("current", {}).get("at") == newest_commit:
+            return version
+        events, path = self.snapshots(version).state(), f"{self.parts.new_part_path()}"
+        order = [F.col("start_time").desc(), F.col("id").desc()]
+        events.repartitionByRange(width_for(events), *order).sortWithinPartitions(*order).write.parquet(path)
+        return self.parts.publish(version, version.parts, facts={"current": {"path": path, "at": newest_commit}})
