@@ -9,6 +9,6 @@ OR binds tighter than AND, written or implied.
 """
 
 from tidemark.filterlang.compile import Mode, compile_filter, evaluate
-from tidemark.filterlang.tree import FilterError, canonical, parse
+from tidemark.filterlang.tree import FilterError, parse, printed
 
-__all__ = ["FilterError", "Mode", "canonical", "compile_filter", "evaluate", "parse"]
+__all__ = ["FilterError", "Mode", "compile_filter", "evaluate", "parse", "printed"]
