@@ -13,53 +13,75 @@ from tidemark.operators import intcolumn as ic
 from tidemark.operators.measures import load_statistics, nearest_ranks, throughput
 
 
+COLUMN = {row: random.Random(row).choice([None, -(2**62), 2**62, *range(-9, 10)]) for row in range(0, 120, 2)}
+PICKED = [row for row in range(0, 140, 6)]
+
+
 @pytest.fixture(scope="module")
-def hundred(spark):
-    return spark.range(100).select(F.col("id").alias("row"), F.col("id").alias("value"))
+def column(spark):
+    return spark.createDataFrame(list(COLUMN.items()), "row bigint, value bigint").coalesce(2).cache()
 
 
 @pytest.fixture(scope="module")
-def signed(spark):
-    return spark.range(-5, 6).select((F.col("id") + 5).alias("row"), F.col("id").alias("value"))
-
-
-@pytest.mark.parametrize(("op", "n"), [(ic.EQ, 1), (ic.LT, 50), (ic.GT, 49), (ic.GE, 50), (ic.LE, 51)])
-def test_comparisons(hundred, op, n):
-    assert ic.select_rows(hundred, "value", op, 50).count() == n
-
-
-@pytest.mark.parametrize(("op", "a", "b", "n"), [(ic.GE, 3, None, 3), (ic.GE, -3, None, 9), (ic.LE, -3, None, 3), (ic.LE, 3, None, 9), (ic.RANGE, -3, 3, 7), (ic.EQ, 3, None, 1), (ic.RANGE, 3, 5, 3)])
-def test_signed_comparisons(signed, op, a, b, n):
-    assert ic.select_rows(signed, "value", op, a, b).count() == n
-
-
-def test_sums_and_extremes(hundred, signed):
-    assert tuple(ic.sum_and_count(ic.select_rows(hundred, "value", ic.RANGE, 45, 55), "value").first()) == (550, 11)
-    assert tuple(ic.sum_and_count(signed, "value").first()) == (0, 11)
-    assert tuple(ic.min_and_max(signed, "value").first()) == (-5, 5)
-    assert tuple(ic.min_and_max(ic.select_rows(signed, "value", ic.GT, 99), "value").first()) == (None, None)
-    assert ic.average(signed.limit(0), "value").first().mean is None
-    assert ic.in_values(hundred, "value", []).isEmpty()
-    with pytest.raises(ValueError):
-        ic.compares(F.col("value"), "NE", 1)
-    with pytest.raises(ValueError):
-        ic.compares(F.col("value"), ic.RANGE, 1)
-
-
-def test_setting_and_arithmetic(spark, hundred):
-    marks = spark.createDataFrame([(n,) for n in (*range(30, 36), 101, 102, 103, 101, None)], "row bigint")
-    fixed = ic.set_values(hundred, marks, "row", "value", 35)
-    assert sorted(r.row for r in ic.select_rows(fixed, "value", ic.EQ, 35).collect()) == [*range(30, 36), 101, 102, 103]
-    assert fixed.count() == 103
-    up = ic.incremented(ic.incremented(hundred, "row", "value"), "row", "value", hundred.where("row = 0"))
-    assert {r.row: r.value for r in up.collect()} == {n: n + 1 + (n == 0) for n in range(100)}
-    more = ic.concatenated(hundred, hundred.selectExpr("row + 100 as row", "value"))
-    assert more.count() == 200
-    counts = {r.value: r.n_rows for r in ic.value_counts(ic.concatenated(hundred, spark.createDataFrame([(101, 50), (102, None)], "row bigint, value bigint")), "value").collect()}
-    assert counts[50] == 2 and len(counts) == 100
-    assert {r.row: r.value for r in ic.added(hundred, hundred.where("row < 10"), "row", "value").collect()} == {n: n * (1 + (n < 10)) for n in range(100)}
-    assert ic.clear(hundred, marks, "row").count() == 94 and ic.retain(hundred, marks, "row").count() == 6
-    assert [r.value for r in ic.value_of(hundred, "row", 7, "value").collect()] == [7]
+def picked(spark):
+    return spark.createDataFrame([(row,) for row in [*PICKED, PICKED[3], None]], "row bigint").coalesce(1)
+
+
+def as_dict(df):
+    got = df.collect()
+    assert len({r.row for r in got}) == len(got)
+    return {r.row: r.value for r in got}
+
+
+@pytest.mark.parametrize("bound", [-4, 0, 7, 2**62])
+def test_comparisons(column, picked, bound):
+    tests = {ic.LT: lambda x: x < bound, ic.LE: lambda x: x <= bound, ic.EQ: lambda x: x == bound, ic.GE: lambda x: x >= bound, ic.GT: lambda x: x > bound}
+    for op, holds in tests.items():
+        want = {k: x for k, x in COLUMN.items() if x is not None and holds(x)}
+        assert as_dict(ic.select_rows(column, "value", op, bound)) == want
+    within = ic.select_rows(column, "value", ic.RANGE, -5, bound, within=picked, key="row")
+    assert as_dict(within) == {k: x for k, x in COLUMN.items() if x is not None and -5 <= x <= bound and k in PICKED}
+    assert as_dict(ic.in_values(column, "value", [bound, 3])) == {k: x for k, x in COLUMN.items() if x in (bound, 3)}
+
+
+def test_what_is_no_comparison(column):
+    assert ic.in_values(column, "value", []).isEmpty()
+    for op in ("NE", ic.RANGE):
+        with pytest.raises(ValueError):
+            ic.compares(F.col("value"), op, 1)
+
+
+def test_aggregates(column):
+    some = {k: x for k, x in COLUMN.items() if x is not None and abs(x) < 100}
+    small = ic.select_rows(column, "value", ic.RANGE, -99, 99)
+    assert tuple(ic.sum_and_count(small, "value").first()) == (sum(some.values()), len(some))
+    assert ic.average(small, "value").first().mean == pytest.approx(sum(some.values()) / len(some))
+    assert tuple(ic.min_and_max(column, "value").first()) == (-(2**62), 2**62)
+    counts = {r.value: r.n_rows for r in ic.value_counts(column, "value").collect()}
+    assert counts == {x: sum(y == x for y in COLUMN.values()) for x in set(COLUMN.values()) - {None}}
+    assert {r.value for r in ic.distinct_values(column, "value").collect()} == set(counts)
+    none = column.limit(0)
+    assert tuple(ic.sum_and_count(none, "value").first()) == (None, 0) and ic.average(none, "value").first().mean is None
+    assert tuple(ic.min_and_max(none, "value").first()) == (None, None)
+
+
+def test_sets_of_rows(column, picked):
+    assert as_dict(ic.retain(column, picked, "row")) == {k: x for k, x in COLUMN.items() if k in PICKED}
+    assert as_dict(ic.clear(column, picked, "row")) == {k: x for k, x in COLUMN.items() if k not in PICKED}
+    assert as_dict(ic.set_values(column, picked, "row", "value", 77)) == {**COLUMN, **dict.fromkeys(PICKED, 77)}
+    odd = column.selectExpr("row + 1 AS row", "value")
+    assert as_dict(ic.concatenated(column, odd)) == {**COLUMN, **{k + 1: x for k, x in COLUMN.items()}}
+    for row, value in list(COLUMN.items())[:9]:
+        assert [r.value for r in ic.value_of(column, "row", row, "value").collect()] == [value] * (value is not None)
+
+
+def test_arithmetic(column, picked):
+    filled = {k: x for k, x in COLUMN.items() if x is not None}
+    small = {k: x for k, x in filled.items() if x < 5}
+    sums = as_dict(ic.added(column, ic.select_rows(column, "value", ic.LT, 5), "row", "value"))
+    assert sums == {k: x + small.get(k, 0) for k, x in filled.items()}
+    assert as_dict(ic.incremented(column, "row", "value", by=3)) == {k: None if x is None else x + 3 for k, x in COLUMN.items()}
+    assert as_dict(ic.incremented(column, "row", "value", picked)) == {k: None if x is None else x + (k in PICKED) for k, x in COLUMN.items()}
 
 
 @pytest.mark.parametrize("n", [1, 2, 99, 100, 1000])

@@ -5,10 +5,10 @@ import pathlib
 import pytest
 
 from tests.oracle import duck, spark_rows
-from tidemark.plans import events, integers, problems
+from tidemark.plans import events, integers, problems, stores
 
 FOLDER = "/root/testdata/sf0.001"
-CORE = {name: (module.QUERIES[name], module.SQL.get(name)) for module in (events, integers, problems) for name in module.QUERIES}
+CORE = {name: (module.QUERIES[name], module.SQL.get(name)) for module in (events, integers, problems, stores) for name in module.QUERIES}
 
 pytestmark = pytest.mark.skipif(not pathlib.Path(FOLDER).exists(), reason="no test data here")
 
@@ -28,7 +28,7 @@ def test_entry_lists_every_core_query(spark):
     import __spark_entry__
 
     assert set(CORE) <= set(__spark_entry__.queries())
-    assert __spark_entry__.entry(spark).columns
+    assert __spark_entry__.entry(spark).count() > 0
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +41,7 @@ def empty(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", [*problems.QUERIES, "list_and", "page_second", "update_start_time", "latency_stats", "int_avg", "etl_map", "initial_load"])
+@pytest.mark.parametrize("name", [*problems.QUERIES, *stores.QUERIES, "list_and", "page_second", "update_start_time", "latency_stats", "int_avg", "etl_map", "initial_load"])
 def test_empty_tables(spark, empty, name):
     query, sql = CORE[name]
     assert spark_rows(query(spark, empty)) == duck(empty, sql)

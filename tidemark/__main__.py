@@ -1,6 +1,6 @@
 """Command line: load dump files into a store, list a page, show statistics, compact.
 
-    python -m tidemark load --store DIR --input FILE [--kind json|parquet] [--batches N]
+    python -m tidemark load --store DIR --input FILE [--kind json|parquet|yson] [--batches N]
     python -m tidemark list --store DIR --request REQUEST.json
     python -m tidemark stats --store DIR
     python -m tidemark compact --store DIR [--forget-before SNAPSHOT]
@@ -54,7 +54,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     parser.add_argument("command", choices=("load", "list", "stats", "compact"))
     parser.add_argument("--store", required=True)
     parser.add_argument("--input")
-    parser.add_argument("--kind", choices=("json", "parquet"), default="json")
+    parser.add_argument("--kind", choices=("json", "parquet", "yson"), default="json")
     parser.add_argument("--batches", type=int, default=1)
     parser.add_argument("--name", default="load")
     parser.add_argument("--request")

@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, width_for
+from tidemark.operators.intervals import RANGES_EACH
+from tidemark.session import scratch_path, width_for
+from tidemark.sources.slots import SLOT, read_slots, write_slots
 
 
 def postings(events: DataFrame) -> DataFrame:
@@ -36,26 +38,28 @@ def nearest_ranks(df: DataFrame, value: str, percents: Mapping[str, int], beside
     """One row, after aggregates ``beside`` over each value ``v`` and its count ``n``, with a column for each name: the element at index ``n * percent / 100`` of the sorted non-null values.
 
     The index is a whole number, counted from 0 and not beyond the last; without
-    values all are null. Values are counted, range-sorted over partitions and
-    found by prefix sums of the partitions' counts, so no task sees more than
-    its range and one repeated value is one row.
+    values all are null. Values are counted, range-sorted into slots and found,
+    where they lie, by prefix sums of the ranges' counts, so no task sees more
+    than its ranges and one repeated value is one row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    laid = cut_lineage(counts.repartitionByRange(width_for(counts), "v").withColumn("part", F.spark_partition_id()))
-    sizes = sorted((r.part, r.n) for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row a partition
-    total = sum(n for _, n in sizes)
-    if not total:
-        kind = df.schema[value].dataType
-        return laid.agg(*beside, *[F.max(F.lit(None).cast(kind)).alias(name) for name in percents])
-    before, bases = 0, []
-    for part, n in sizes:
-        bases.append((part, before))
-        before += n
-    base = F.coalesce(*[F.when(F.col("part") == part, b) for part, b in bases])
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + base
-    placed = laid.withColumn("upto", upto)
-    held = lambda i: (F.col("upto") > i) & (F.col("upto") - F.col("n") <= i)
-    return placed.agg(*beside, *[F.max(F.when(held(min(total - 1, total * p // 100)), F.col("v"))).alias(name) for name, p in percents.items()])
+    buckets, path = width_for(counts), scratch_path(df.sparkSession, "ranks")
+    ranges = counts.repartitionByRange(RANGES_EACH * buckets, "v").withColumn(SLOT, F.spark_partition_id())
+    write_slots(ranges, path, buckets, ["v"])
+    laid = read_slots(df.sparkSession, [path], ranges.schema, buckets, ["v"])
+    # one row a range, of which there are at most MAX_WIDTH: this much may stand in one window, and be broadcast
+    sizes = laid.groupBy(SLOT).agg(F.sum("n").alias("__size"))
+    whole = Window.partitionBy(F.lit(0))
+    before = F.sum("__size").over(whole.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1))
+    bases = sizes.select(SLOT, F.coalesce(before, F.lit(0)).alias("base"), F.sum("__size").over(whole).alias("total"))
+    own = F.sum("n").over(Window.partitionBy(SLOT).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = laid.withColumn("own", own).join(F.broadcast(bases), SLOT).withColumn("upto", F.col("own") + F.col("base"))
+
+    def at(percent: int) -> Column:
+        index = F.least(F.col("total") - 1, F.floor(F.col("total") * percent / 100))
+        return F.max(F.when((F.col("upto") > index) & (F.col("upto") - F.col("n") <= index), F.col("v")))
+
+    return placed.agg(*beside, *[at(p).alias(name) for name, p in percents.items()])
 
 
 LOAD_PERCENTS = {"p50": 50, "p95": 95, "p99": 99}

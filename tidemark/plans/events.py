@@ -320,7 +320,11 @@ SELECT coalesce(CAST(id AS VARCHAR), '<nil>') AS id, coalesce(title, '<nil>') AS
 FROM {} WHERE service_id IS NOT NULL"""
 
 
-def _mapped(rows: DataFrame) -> DataFrame:
+def mapped_sql(source: str) -> str:
+    return _DUMP_SQL.format(source)
+
+
+def mapped_scalars(rows: DataFrame) -> DataFrame:
     note = lambda k: F.element_at("annotations", F.lit(k)).alias(k)
     return dump.mapped(rows, strict=False).select(
         "id", "title", "description", "resource.type_code", "resource.external_id", "start_time", "end_time",
@@ -328,19 +332,19 @@ def _mapped(rows: DataFrame) -> DataFrame:
     )
 
 
-@query("etl_map", _DUMP_SQL.format("event_dump"))
+@query("etl_map", mapped_sql("event_dump"))
 def etl_map(spark, folder):
-    return _mapped(table(spark, folder, "event_dump"))
+    return mapped_scalars(table(spark, folder, "event_dump"))
 
 
 @query(
     "etl_dedup_first",
-    _DUMP_SQL.format(
+    mapped_sql(
         "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY delivery_no) AS rn FROM event_dump WHERE id IS NOT NULL) WHERE rn = 1)"
     ),
 )
 def etl_dedup_first(spark, folder):
-    return _mapped(dump.first_seen(dump.with_service(table(spark, folder, "event_dump")), "id", "delivery_no"))
+    return mapped_scalars(dump.first_seen(dump.with_service(table(spark, folder, "event_dump")), "id", "delivery_no"))
 
 
 @query("etl_json_lists", """SELECT delivery_no, CAST(to_json(tickets) AS VARCHAR) AS tickets FROM event_dump""")
@@ -375,9 +379,9 @@ def stored_roundtrip(spark, folder):
     "initial_load",
     f"""SELECT id, title, start_time, tags FROM (SELECT id, json_extract_string(p, '$.title') AS title, make_timestamp(start_time) AS start_time,
         array_to_string(CAST(json_extract(p, '$.tags') AS VARCHAR[]), ',') AS tags,
-        row_number() OVER (PARTITION BY id ORDER BY start_time DESC) AS rn
-        FROM (SELECT *, {_PAYLOAD_SQL} AS p FROM (SELECT DISTINCT id, start_time, event FROM event_rows WHERE removed_at IS NULL AND id IN
-            (SELECT id FROM event_rows WHERE removed_at IS NULL GROUP BY 1 HAVING count(DISTINCT (start_time, event)) = 1)))) WHERE rn = 1""",
+        row_number() OVER (PARTITION BY id ORDER BY start_time DESC NULLS LAST, json_extract_string(p, '$.title') DESC NULLS LAST,
+            CAST(json_extract(p, '$.tags') AS VARCHAR[]) DESC NULLS LAST) AS rn
+        FROM (SELECT *, {_PAYLOAD_SQL} AS p FROM event_rows WHERE removed_at IS NULL AND id IS NOT NULL)) WHERE rn = 1""",
 )
 def initial_load(spark, folder):
     """The log of stored rows, resolved: every id that stands, at its latest start; ties go to the greater title, then tags."""

@@ -47,7 +47,11 @@ _add("int_gt", _ALL + "value > 50", lambda c, m: ic.select_rows(c, "value", ic.G
 _add("int_range", _ALL + "value BETWEEN 45 AND 55", lambda c, m: ic.select_rows(c, "value", ic.RANGE, 45, 55))
 _add("int_in", _ALL + "value IN (3, 5, 8)", lambda c, m: ic.in_values(c, "value", [3, 5, 8]))
 _add("int_exists", _ALL + "value IS NOT NULL", lambda c, m: ic.with_value(c, "value"))
-_add("int_get", 'SELECT value FROM c WHERE "row" = 9 AND value IS NOT NULL', lambda c, m: ic.value_of(c, "row", 9, "value"))
+_add(
+    "int_get",
+    'SELECT value FROM c WHERE "row" = (SELECT min("row") FROM c WHERE value IS NOT NULL)',
+    lambda c, m: ic.value_of(c, "row", ic.with_value(c, "value").agg(F.min("row")).first()[0], "value"),
+)
 _add("int_within", _ALL + 'value < 50 AND "row" IN (SELECT "row" FROM m)', lambda c, m: ic.select_rows(c, "value", ic.LT, 50, within=m, key="row"))
 _add("int_retain", _ALL + '"row" IN (SELECT "row" FROM m)', lambda c, m: ic.retain(c, m, "row"))
 _add("int_clear", _ALL + '"row" NOT IN (SELECT "row" FROM m)', lambda c, m: ic.clear(c, m, "row"))

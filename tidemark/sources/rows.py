@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.model import DUMP
 from tidemark.session import use_utc
+from tidemark.sources.yson import read_fragments
 
 PAYLOAD = T.StructType(
     [T.StructField("title", T.StringType()), T.StructField("sev", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType()))]
@@ -44,18 +45,40 @@ def write_sharded(df: DataFrame, path: str, key: str, shards: int = 64) -> None:
     placed.repartitionByRange("shard", key, F.monotonically_increasing_id()).sortWithinPartitions("shard", key).write.partitionBy("shard").parquet(path)
 
 
-def read_shard(spark: SparkSession, path: str, key: str, value: str, shards: int = 64) -> DataFrame:
-    """Rows of one key, from its shard's folder alone."""
-    return spark.read.parquet(path).where((F.col("shard") == shard(F.lit(value), shards=shards)) & (F.col(key) == value)).drop("shard")
+def read_shard(spark: SparkSession, path: str, key: str, value: str, shards: int = 64, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of one key, from its shard's folder alone. Without ``schema``, that of the files, there must be some."""
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.IntegerType())])) if schema else spark.read
+    return reader.parquet(path).where((F.col("shard") == shard(F.lit(value), shards=shards)) & (F.col(key) == value)).drop("shard")
 
 
-def read_dump(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    """Dump rows from files of JSON lines or Parquet, by their fixed schema; absent columns are null.
+# How dumps of joined tables name their columns.
+PREFIXED = {"resource_manager_entity": "services.resource_manager_entity", "event_type": "events.type"}
 
-    A line that is not JSON fails the job: a dump that is cut off must not pass for a whole one.
+
+def prefixed(name: str) -> str:
+    return PREFIXED.get(name, f"events.{name}")
+
+
+def read_dump(spark: SparkSession, path: str, kind: str = "json", prefix: bool = False) -> DataFrame:
+    """Dump rows from files of JSON lines, Parquet or text YSON, by their fixed schema; absent columns are null.
+
+    With ``prefix`` columns carry the name of the table that they come from, as
+    they always do in YSON, where tickets may also be a single text. A line that
+    is not whole fails the job: a dump that is cut off must not pass for a whole one.
     """
-    reader = use_utc(spark).read.schema(DUMP)
-    return reader.option("mode", "FAILFAST").json(path) if kind == "json" else reader.parquet(path)
+    use_utc(spark)
+    if kind == "yson":
+        fields = [T.StructField(prefixed(f.name), T.StringType() if f.name == "tickets" else f.dataType) for f in DUMP]
+        rows = read_fragments(spark, path).select(F.from_json("value", T.StructType(fields), {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        tickets = F.col(f"`{prefixed('tickets')}`")
+        many = F.from_json(tickets, "array<string>")
+        rows = rows.withColumn(prefixed("tickets"), F.when(tickets.startswith("["), many).when(tickets.isNotNull(), F.array(tickets)))
+        return rows.select(*[F.col(f"`{prefixed(f.name)}`").alias(f.name) for f in DUMP])
+    name = prefixed if prefix else str
+    schema = T.StructType([T.StructField(name(f.name), f.dataType) for f in DUMP])
+    reader = spark.read.schema(schema)
+    rows = reader.option("mode", "FAILFAST").json(path) if kind == "json" else reader.parquet(path)
+    return rows.select(*[F.col(f"`{name(f.name)}`").alias(f.name) for f in DUMP])
 
 
 def as_initial_log(rows: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Parquet folders whose rows lie in slots, and are grouped by them without being moved.
 
-Each folder is written once, spread over a fixed number of buckets by the column
-``__slot`` and sorted within. Read together, the folders are the partitions of
-one bucketed table, so that a task gets the same bucket of all of them: grouping
-by ``__slot`` and whatever else needs no shuffle. The tables are known to the
+Each folder is written once, spread over a fixed number of buckets by one or
+more columns, mostly ``__slot``, and sorted within. Read together, the folders
+are the partitions of one bucketed table, so that a task gets the same bucket of
+all of them: grouping by these columns and whatever else needs no shuffle, nor
+does joining by exactly these. The tables are known to the
 session's catalog only, under a name of their own, and dropped when the driver
 ends; the folders stay.
 """
@@ -27,25 +28,27 @@ def _drop(spark: SparkSession, name: str) -> None:
         pass
 
 
-def write_slots(df: DataFrame, path: str, buckets: int, order: Sequence[str], by: str | None = None) -> None:
-    """Write rows, which must be spread by ``repartition(buckets, SLOT)`` or come from :func:`read_slots`, sorted by ``order`` within a bucket.
+def write_slots(df: DataFrame, path: str, buckets: int, order: Sequence[str], by: str | None = None, on: Sequence[str] = (SLOT,)) -> None:
+    """Write rows, which must be spread by ``repartition(buckets, *on)`` or come from :func:`read_slots`, sorted by ``on`` and ``order`` within a bucket.
 
     With ``by`` each value of that column goes to a folder of its own, ``path/by=value``.
     """
     name = f"tidemark_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").bucketBy(buckets, SLOT).sortBy(SLOT, *order).option("path", path)
+    writer = df.write.format("parquet").bucketBy(buckets, *on).sortBy(*dict.fromkeys((*on, *order))).option("path", path)
     (writer.partitionBy(by) if by else writer).saveAsTable(name)
     _drop(df.sparkSession, name)
 
 
-def read_slots(spark: SparkSession, paths: Sequence[str], schema: StructType, buckets: int, order: Sequence[str]) -> DataFrame:
-    """All rows of the given folders, in which ``schema`` includes SLOT."""
+def read_slots(
+    spark: SparkSession, paths: Sequence[str], schema: StructType, buckets: int, order: Sequence[str], on: Sequence[str] = (SLOT,)
+) -> DataFrame:
+    """All rows of the given folders, which were written with the same ``buckets``, ``order`` and ``on``."""
     name = f"tidemark_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    sorting = ", ".join(f"`{c}`" for c in (SLOT, *order))
+    placing, sorting = (", ".join(f"`{c}`" for c in some) for some in (on, dict.fromkeys((*on, *order))))
     spark.sql(
         f"CREATE TABLE {name} ({columns}, `{FOLDER}` string) USING parquet PARTITIONED BY (`{FOLDER}`) "
-        f"CLUSTERED BY (`{SLOT}`) SORTED BY ({sorting}) INTO {buckets} BUCKETS LOCATION '{paths[0]}'"
+        f"CLUSTERED BY ({placing}) SORTED BY ({sorting}) INTO {buckets} BUCKETS LOCATION '{paths[0]}'"
     )
     atexit.register(_drop, spark, name)
     each = " ".join(f"PARTITION (`{FOLDER}` = '{i}') LOCATION '{path}'" for i, path in enumerate(paths))
