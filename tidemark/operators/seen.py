@@ -10,8 +10,8 @@ shuffle, so one producer with a third of all messages is spread over many tasks,
 and no group can hold more than ``BLOCK`` numbers.
 
 A batch adds what it has that is new, and leaves the rest of the state as it is;
-state lies in slots (see :mod:`tidemark.sources.slots`), where a batch is brought
-to it and it is never moved. Every few batches the additions are merged.
+state lies in buckets (see :mod:`tidemark.sources.slots`), where a batch is
+brought to it and it is never moved. Every few batches the additions are merged.
 """
 
 from __future__ import annotations
@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, width_for
 from tidemark.sources.manifest import Part, PartStore, Version
-from tidemark.sources.slots import SLOT, read_slots, write_slots
+from tidemark.sources.slots import read_slots, write_slots
 
 BLOCK = 1024
-PLACES = 1 << 20
 RANGES, EXACT, VERDICTS = 0, 1, 2
-STATE = {RANGES: f"producer string, block bigint, lo bigint, hi bigint, `{SLOT}` int", EXACT: f"exact string, `{SLOT}` int"}
-ORDER = {RANGES: ("producer", "block"), EXACT: ("exact",)}
+STATE = {RANGES: "producer string, block bigint, lo bigint, hi bigint", EXACT: "exact string"}
+PLACE = {RANGES: ("producer", "block"), EXACT: ("exact",)}
 
 
 @dataclass(frozen=True)
@@ -72,12 +71,12 @@ class SeenMessages:
         if not paths:
             return None
         schema = self.spark.createDataFrame([], STATE[kind]).schema
-        return read_slots(self.spark, paths, schema, version.facts["buckets"], ORDER[kind])
+        return read_slots(self.spark, paths, schema, version.facts["buckets"], (), on=PLACE[kind])
 
     def ranges(self) -> DataFrame | None:
         """producer, block, lo, hi: disjoint, and not adjacent within a block."""
         found = self._state(self.store.current(), RANGES)
-        return None if found is None else _merged(found).drop(SLOT)
+        return None if found is None else _merged(found)
 
     def accept(self, batch: DataFrame, key: MessageKey, tag: str) -> DataFrame:
         """Record a batch; returns delivery, kept (BOOLEAN) for its messages.
@@ -97,26 +96,24 @@ class SeenMessages:
             key.delivery.alias("delivery"),
         ).where(F.col("number").isNotNull() | F.col("exact").isNotNull())
         first = slim.groupBy("producer", "number", "exact").agg(F.min("delivery").alias("delivery"))
-        block = F.floor(F.col("number") / F.lit(BLOCK)).cast("bigint")
-        place = F.when(F.col("exact").isNull(), F.xxhash64("producer", "block")).otherwise(F.xxhash64("exact"))
-        placed = first.withColumn("block", block).withColumn(SLOT, F.pmod(place, F.lit(PLACES)).cast("int"))
+        placed = first.withColumn("block", F.floor(F.col("number") / F.lit(BLOCK)).cast("bigint"))
         in_order, odd = placed.where(F.col("exact").isNull()), placed.where(F.col("exact").isNotNull())
         ranges, keys = self._state(base, RANGES), self._state(base, EXACT)
         if ranges is not None:
-            held = ranges.groupBy(SLOT, "producer", "block").agg(F.collect_list(F.struct("lo", "hi")).alias("held"))
-            held = held.select(F.col(SLOT).alias("__s"), F.col("producer").alias("__p"), F.col("block").alias("__b"), "held")
-            same = (F.col(SLOT) == F.col("__s")) & (F.col("producer") == F.col("__p")) & (F.col("block") == F.col("__b"))
+            held = ranges.groupBy("producer", "block").agg(F.collect_list(F.struct("lo", "hi")).alias("held"))
+            held = held.select(F.col("producer").alias("__p"), F.col("block").alias("__b"), "held")
+            same = (F.col("producer") == F.col("__p")) & (F.col("block") == F.col("__b"))
             covered = F.exists("held", lambda r: F.col("number").between(r["lo"], r["hi"]))
-            in_order = in_order.join(held, same, "left").where(~F.coalesce(covered, F.lit(False))).drop("__s", "__p", "__b", "held")
+            in_order = in_order.join(held, same, "left").where(~F.coalesce(covered, F.lit(False))).drop("__p", "__b", "held")
         if keys is not None:
-            known = keys.select(F.col(SLOT).alias("__s"), F.col("exact").alias("__e"))
-            odd = odd.join(known, (F.col(SLOT) == F.col("__s")) & (F.col("exact") == F.col("__e")), "left_anti")
+            odd = odd.join(keys.select(F.col("exact").alias("__e")), F.col("exact") == F.col("__e"), "left_anti")
         new = cut_lineage(in_order.unionByName(odd), "accepted")
         buckets = base.facts.get("buckets") or self.buckets or width_for(batch)
-        points = new.where(F.col("exact").isNull()).select("producer", "block", F.col("number").alias("lo"), F.col("number").alias("hi"), SLOT)
+        points = new.where(F.col("exact").isNull()).select("producer", "block", F.col("number").alias("lo"), F.col("number").alias("hi"))
+        keys_of = new.where(F.col("exact").isNotNull()).select("exact")
         parts = [
-            self._written(_merged(points.repartition(buckets, SLOT)), RANGES, buckets),
-            self._written(new.where(F.col("exact").isNotNull()).select("exact", SLOT).repartition(buckets, SLOT), EXACT, buckets),
+            self._written(_merged(points.repartition(buckets, *PLACE[RANGES])), RANGES, buckets),
+            self._written(keys_of.repartition(buckets, *PLACE[EXACT]), EXACT, buckets),
         ]
         verdicts = Part(self.store.new_part_path(), tag, VERDICTS)
         accepted = new.select(F.col("delivery").alias("__kept"))
@@ -135,7 +132,7 @@ class SeenMessages:
 
     def _written(self, rows: DataFrame, kind: int, buckets: int) -> Part:
         path = self.store.new_part_path()
-        write_slots(rows, path, buckets, ORDER[kind])
+        write_slots(rows, path, buckets, (), on=PLACE[kind])
         return Part(path, "", kind)
 
     def forget(self, tag: str) -> Version:
@@ -144,7 +141,7 @@ class SeenMessages:
         return self.store.publish(base, tuple(p for p in base.parts if p.level != VERDICTS or p.tag != tag))
 
     def compact(self) -> Version:
-        """Merge the additions of all batches, slot by slot."""
+        """Merge the additions of all batches, bucket by bucket."""
         base = self.store.current()
         ranges, keys, buckets = self._state(base, RANGES), self._state(base, EXACT), base.facts.get("buckets")
         if ranges is None:
@@ -155,7 +152,7 @@ class SeenMessages:
 
 def _merged(points: DataFrame) -> DataFrame:
     """Ranges of any number of batches as disjoint ones; the window's groups hold one block."""
-    block = ("producer", "block", SLOT)
+    block = ("producer", "block")
     ordered = Window.partitionBy(*block).orderBy("lo")
     fresh = F.col("lo") > F.coalesce(F.lag("hi").over(ordered), F.col("lo") - 2) + 1
     return (
@@ -163,5 +160,5 @@ def _merged(points: DataFrame) -> DataFrame:
         .withColumn("__island", F.sum("__fresh").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*block, "__island")
         .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select("producer", "block", "lo", "hi", SLOT)
+        .select("producer", "block", "lo", "hi")
     )
