@@ -31,7 +31,9 @@ def resource_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    states = resource_states(spark, folder)
+    """Heavy keys among the joined states, which here hold counts alone."""
+    rows, index = (key_states(table(spark, folder, name), RESOURCE, prefix) for name, prefix in (("event_rows", "event"), ("event_id_index", "index")))
+    states = join_states(rows, index, RESOURCE)
     heavy = heavy_keys(states, table(spark, folder, "event_rows"), "event_rows", HEAVY_ONE_IN)
     return heavy.where(F.col(RESOURCE[0]).isNotNull() & F.col(RESOURCE[1]).isNotNull()).select(*RESOURCE)
 
