@@ -42,22 +42,33 @@ def frequent_pairs(df: DataFrame, basket: str, items: str, clean: Column | None
     remaining ones may be broadcast is decided by counting them.
     """
     slim = df.where(F.col(basket).isNotNull()).select(F.col(basket).alias("basket"), F.explode(items).alias("item"))
-    single = slim.select("basket", (clean if clean is not None else F.col("item")).alias("item")).where(F.col("item").isNotNull()).distinct()
+    cleaned = slim.select("basket", (clean if clean is not None else F.col("item")).alias("item")).where(F.col("item").isNotNull())
+    single = cut_lineage(cleaned.distinct(), "baskets")
     n = single.agg(F.count_distinct("basket").alias("n")).first().n
     enough = lambda c: (c >= support.least) & (c.cast(WIDE) * support.one_in >= n)
     counts = single.groupBy("item").agg(F.count(F.lit(1)).alias("n_item")).where(enough(F.col("n_item")))
-    counts = cut_lineage(counts)
+    # from here on items are numbers, so that what is sorted, copied and shuffled is small
+    counts = cut_lineage(counts.withColumn("code", F.monotonically_increasing_id()), "items")
     small = counts.count() <= support.broadcast_items
     side = F.broadcast if small else (lambda d: d)
-    kept = single.join(side(counts.select(F.col("item").alias("__i"))), F.col("item") == F.col("__i"), "left_semi")
-    baskets = kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    kept = single.join(side(counts.select(F.col("item").alias("__i"), "code")), F.col("item") == F.col("__i")).select("basket", "code")
+    baskets = kept.groupBy("basket").agg(F.array_sort(F.collect_list("code")).alias("items")).where(F.size("items") > 1)
     weighted = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("weight"))
-    firsts = weighted.select("items", "weight", F.posexplode("items").alias("at", "a"))
-    each = firsts.select("a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b"), "weight")
-    pairs = each.groupBy("a", "b").agg(F.sum("weight").alias("n_ab")).where(enough(F.col("n_ab")))
-    of_a = counts.select(F.col("item").alias("a"), F.col("n_item").alias("n_a"))
-    of_b = counts.select(F.col("item").alias("b"), F.col("n_item").alias("n_b"))
-    scored = pairs.join(side(of_a), "a").join(side(of_b), "b").withColumn("n", F.lit(n).cast("bigint"))
+    firsts = weighted.select("items", "weight", F.posexplode("items").alias("at", "x"))
+    each = firsts.select("x", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("y"), "weight")
+    pairs = each.groupBy("x", "y").agg(F.sum("weight").alias("n_ab")).where(enough(F.col("n_ab")))
+    of = lambda code, item, count: side(counts.select(F.col("code").alias(code), F.col("item").alias(item), F.col("n_item").alias(count)))
+    named = pairs.join(of("x", "item_x", "n_x"), "x").join(of("y", "item_y", "n_y"), "y")
+    in_order = F.col("item_x") < F.col("item_y")
+    either = lambda one, other: F.when(in_order, F.col(one)).otherwise(F.col(other))
+    scored = named.select(
+        either("item_x", "item_y").alias("a"),
+        either("item_y", "item_x").alias("b"),
+        "n_ab",
+        either("n_x", "n_y").alias("n_a"),
+        either("n_y", "n_x").alias("n_b"),
+        F.lit(n).cast("bigint").alias("n"),
+    )
     ab, a, b, all_ = (F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n"))
     return scored.select(
         "a",
