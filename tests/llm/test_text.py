@@ -306,6 +306,16 @@ def test_counts(text):
     assert quality.counts(text, quality._Common(common)) == brute_counts(text, common)
 
 
+def test_common_words_in_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat, The dog and THE mat"), (2, None), (3, "a")], "doc_id bigint, text string")
+    common = spark.createDataFrame([(w,) for w in ["the", "dog", "mat", "and", "a", None, "the"]], "word string")
+    whole = spark_rows(quality.text_counts(docs, common))
+    for size in (1, 2, 5, 6):
+        monkeypatch.setattr(quality, "COMMON_WORDS_AT_ONCE", size)
+        assert spark_rows(quality.text_counts(docs, common)) == whole
+    assert {r.doc_id: r.n_common for r in quality.text_counts(docs, common).collect()} == {1: 6, 2: 0, 3: 1}
+
+
 def test_learning_finds_planted_accuracies():
     rng = np.random.default_rng(7)
     truth = rng.random(40_000) < 0.3

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,9 @@ BLANKS = " \t\n\r"
 ENDINGS = (".", "!", "?")
 
 COUNTS = ("n_words", "n_chars", "n_symbols", "n_common", "n_lines", "n_ended")
-MAX_COMMON_WORDS = 1_000_000
+COMMON_WORDS_AT_ONCE = 500_000
 MAX_KNOWN_WORDS = 300_000
+COMMON = COUNTS.index("n_common")
 
 #: Least probability of a vote or a class, and that of an anchored function's vote against prose, given prose.
 FLOOR, ANCHOR = 0.01, 1e-12
@@ -81,6 +83,16 @@ def counts(text: str | None, common: _Common) -> tuple[int, ...]:
     )
 
 
+def _word_blocks(common_words: DataFrame, word: str) -> Iterator[frozenset[str]]:
+    """The distinct words in blocks, of which there is at least one."""
+    rows = common_words.select(word).where(F.col(word).isNotNull()).distinct().toLocalIterator()
+    while block := frozenset(r[0] for r in islice(rows, COMMON_WORDS_AT_ONCE)):
+        yield block
+        if len(block) < COMMON_WORDS_AT_ONCE:
+            return
+    yield frozenset()
+
+
 def text_counts(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", word: str = "word") -> DataFrame:
     """``key`` and COUNTS of every row.
 
@@ -93,18 +105,19 @@ def text_counts(documents: DataFrame, common_words: DataFrame, key: str = "doc_i
     words in ``common_words`` are ignored; with no words n_common is 0. One row
     out for each row in, without a shuffle.
 
-    The word list is sent to every worker, and more than MAX_COMMON_WORDS
-    distinct words are refused rather than truncated.
+    The word list is sent to every worker, in blocks of COMMON_WORDS_AT_ONCE,
+    which a batch of texts goes through one after another.
     """
-    listed = [r[0] for r in common_words.select(word).where(F.col(word).isNotNull()).distinct().limit(MAX_COMMON_WORDS + 1).collect()]
-    if len(listed) > MAX_COMMON_WORDS:
-        raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
-    sent = documents.sparkSession.sparkContext.broadcast(frozenset(listed))
+    sent = [documents.sparkSession.sparkContext.broadcast(block) for block in _word_blocks(common_words, word)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = _Common(sent.value)
+        common = _Common(sent[0].value)
         for batch in batches:
             rows = np.array([counts(t.as_py(), common) for t in batch.column(1)], dtype=np.int64).reshape(-1, len(COUNTS))
+            for block in sent[1:]:
+                more = _Common(block.value)
+                rows[:, COMMON] += [sum(map(more.__getitem__, _WORD.findall(t.as_py() or ""))) for t in batch.column(1)]
+                vars(block).pop("_value", None)  # the worker keeps one of them at a time
             columns = [pa.array(rows[:, i]) for i in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *COUNTS])
 
