@@ -5,6 +5,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from tidemark.sources import rows
+from tidemark.sources.yson import YsonError, parse_record
 
 
 def test_payloads(spark):
@@ -33,3 +34,36 @@ def test_dump_files(spark, tmp_path):
         rows.read_dump(spark, f"{tmp_path}/b.json").collect()
     rows.read_dump(spark, f"{tmp_path}/a.json").write.parquet(f"{tmp_path}/p")
     assert rows.read_dump(spark, f"{tmp_path}/p", "parquet").first().id == 1
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('{a=1;"b c"=-2u;};', {"a": 1, "b c": -2}), ("[1;2.5;%true;#;word-x]", [1, 2.5, True, None, "word-x"]), ('<id=7>"x"', "x"), ("{}", {}), ("[];", []),
+        (r'"q\"\\\x41\101\n\xd0\x96"', 'q"\\AA\nЖ'), ("{a={b=[{c=%false}]}}", {"a": {"b": [{"c": False}]}}), (" ", None), ("1e3", 1000.0), ("%nan", None),
+    ],
+)
+def test_text_yson(text, value):
+    assert parse_record(text) == value
+
+
+@pytest.mark.parametrize("text", ["{a=1", "{a 1}", "[1 2]", "{a=1};{", '"open', "=", "{1=2}"])
+def test_what_is_no_text_yson(text):
+    with pytest.raises(YsonError):
+        parse_record(text)
+
+
+def test_dumps_of_joined_tables(spark, tmp_path):
+    record = '{"events.id"=5;"events.title"="a \\"b\\"";"events.type"="work";"events.created_at"=17u;"events.components"=["x";"y"];"events.tickets"=%s;"events.is_deleted"=%%true;"services.resource_manager_entity"={type="team";slug="s"};extra=1};\n'
+    (tmp_path / "a.yson").write_text(record % '"T-1"' + "\n" + record % '["T-1";"T-2"]' + record % "#")
+    got = rows.read_dump(spark, f"{tmp_path}/a.yson", "yson")
+    assert [r.tickets for r in got.collect()] == [["T-1"], ["T-1", "T-2"], None]
+    one = got.first()
+    assert (one.id, one.title, one.event_type, one.created_at, one.components, one.is_deleted, one.severity) == (5, 'a "b"', "work", 17, ["x", "y"], True, None)
+    assert one.resource_manager_entity.slug == "s"
+    (tmp_path / "b.yson").write_text(record % "#" + "{a=")
+    with pytest.raises(Exception, match="cut off"):
+        rows.read_dump(spark, f"{tmp_path}/b.yson", "yson").collect()
+    (tmp_path / "c.json").write_text(json.dumps({"events.id": 6, "events.type": "t", "services.resource_manager_entity": {"type": "team"}}))
+    plain = rows.read_dump(spark, f"{tmp_path}/c.json", prefix=True).first()
+    assert (plain.id, plain.event_type, plain.resource_manager_entity.type) == (6, "t", "team")

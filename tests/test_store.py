@@ -43,6 +43,45 @@ def test_life_of_events(spark, tmp_path):
             bad()
 
 
+def test_a_kept_state_serves_later_snapshots(spark, tmp_path):
+    store = EventStore(spark, f"{tmp_path}/s")
+    ids = store.create_batch([event(n, created_by="me", create_time=T0) for n in range(6)])
+    store.compact()
+    kept = store.parts.current().facts["current"]
+    store.update(ids[2], {"title": "later", "end_time": T0 + dt.timedelta(days=3)}, ["title", "end_time"])
+    store.delete(ids[4])
+    both = store.snapshots()
+    assert both.at == kept["at"] == 1 and both.n_since == 2
+    assert {r.id: (r.title, r.created_by, r.create_time) for r in store.events().collect()} == {
+        i: ("later" if n == 2 else f"t{n}", "me", T0) for n, i in enumerate(ids) if n != 4
+    }
+    assert [r.id for r in store.list(page_size=2, start=T0 + dt.timedelta(hours=5, minutes=30)).rows] == [ids[5], ids[2]]
+    assert store.events(1).count() == 6
+    store.compact()
+    assert store.parts.current().facts["current"]["at"] == store.log().agg({"txn_ts": "max"}).first()[0]
+    before = {r.id for r in store.events().collect()}
+    assert store.parts.vacuum(older_than=-5) > 0
+    assert {r.id for r in store.events().collect()} == before == set(ids) - {ids[4]}
+    assert store.events(1).count() == 6
+    with pytest.raises(ValueError):
+        store.lookup(map(str, range(20_000)))
+
+
+def test_little_that_is_new_rewrites_nothing_large(spark, tmp_path):
+    store = EventStore(spark, f"{tmp_path}/s", level_limits=())
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("cast(id as string) id", "cast(id as string) title")
+    for lo, hi in ((0, 100), (100, 103), (103, 106), (106, 160)):
+        store.create(rows(lo, hi), assign_ids=False)
+        store.compact()
+        version = store.parts.current()
+        if hi == 103:
+            assert [p.rows for p in version.parts] == [100, 3] and version.facts["current"]["rows"] == 100
+        if hi == 106:
+            assert sorted(p.rows for p in version.parts) == [6, 100] and store.events().count() == 106
+    assert [p.rows for p in version.parts] == [160] and version.facts["current"]["rows"] == 160
+    assert store.log().count() == store.events().count() == 160
+
+
 def test_assigned_ids_are_ordered_by_time_and_repeatable(spark):
     rows = spark.range(200).selectExpr("'given' as id", "cast(id as string) as title")
     at = 1_751_328_000_123

@@ -30,6 +30,10 @@ from tidemark.sources.manifest import Part, PartStore, PublishConflict, Version
 LEVEL_LIMITS = (256_000, 1_024_000, 4_096_000)
 TRIES = 8
 MAX_LOOKUP = 10_000
+#: The kept state is written again once one in so many of its rows may have changed.
+RENEW_ONE_IN = 10
+#: Parts of the last level are merged with what comes in if they are at most so many times as large.
+TIER = 4
 
 
 class UnknownEvent(LookupError):
@@ -177,7 +181,10 @@ class EventStore:
             full = level and sum(p.rows for p in here) > self.level_limits[level - 1]
             if not here or (level and not full):
                 continue
-            into = [p for p in version.parts if p.level == level + 1]
+            incoming = sum(p.rows for p in here)
+            last = level == len(self.level_limits)
+            # a large part of the last level, which has no limit, is not written again for a little more
+            into = [p for p in version.parts if p.level == level + 1 and not (last and p.rows > TIER * incoming)]
             merged = self.log(Version(parts=(*here, *into)))
             if forget_before is not None:
                 old = merged.where(F.col("txn_ts") <= forget_before)
@@ -185,17 +192,19 @@ class EventStore:
             path = self.parts.new_part_path()
             order = [F.col("start_time").desc(), F.col("id").desc(), F.col("txn_ts").desc()]
             merged.repartitionByRange(width_for(merged), *order).sortWithinPartitions(*order).write.parquet(path)
-            rest = tuple(p for p in version.parts if p.level not in (level, level + 1))
+            rest = tuple(p for p in version.parts if p not in (*here, *into))
             until = max(p.until for p in (*here, *into))
             version = self.parts.publish(version, (*rest, self._part(path, f"level {level + 1}", level + 1, until)))
         return self._keep_state(version)
 
     def _keep_state(self, version: Version) -> Version:
-        """Write the newest state beside the log, from the one that is there and what came since."""
+        """Write the newest state beside the log, from the one that is there and what came since, once that is not little."""
         newest_commit = max((p.until for p in version.parts), default=0)
-        if not newest_commit or version.facts.get("current", {}).get("at") == newest_commit:
+        kept, found = version.facts.get("current"), self.snapshots(version)
+        if not newest_commit or (kept and (kept["at"] == newest_commit or found.n_since * RENEW_ONE_IN < kept["rows"])):
             return version
-        events, path = self.snapshots(version).state(), f"{self.parts.new_part_path()}"
+        events, path = found.state(), self.parts.new_part_path()
         order = [F.col("start_time").desc(), F.col("id").desc()]
         events.repartitionByRange(width_for(events), *order).sortWithinPartitions(*order).write.parquet(path)
-        return self.parts.publish(version, version.parts, facts={"current": {"path": path, "at": newest_commit}})
+        rows = self._part(path, "", 0, newest_commit).rows
+        return self.parts.publish(version, version.parts, facts={"current": {"path": path, "at": newest_commit, "rows": rows}})
