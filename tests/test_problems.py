@@ -255,6 +255,30 @@ def test_incremental_target(spark, tmp_path):
     assert rows(target.pending(source)) == [("a", 1), ("a", 2)]
 
 
+def test_states_of_every_kind(spark, tmp_path):
+    source = spark.sql(
+        """SELECT * FROM VALUES (1, 1.5D, true, X'00', DATE'2000-01-01', TIMESTAMP'2000-01-01 00:00:00', TIMESTAMP_NTZ'2000-01-01 00:00:00', '', 2.5BD),
+        (0, 0D, false, X'', DATE'2000-01-01', TIMESTAMP'2000-01-01 00:00:00', TIMESTAMP_NTZ'2000-01-01 00:00:00', '', 0.0BD),
+        (null, null, null, null, null, null, null, null, null) AS t(a, b, c, d, e, f, g, h, i)"""
+    )
+    target = IncrementalTarget(spark, f"{tmp_path}/t", source.columns)
+    assert rows(target.pending(source)) == rows(source) and target.pending(source).dtypes == source.dtypes
+    target.publish(source.where("a = 0"), "r/1")
+    left = target.pending(source)
+    assert rows(left) == rows(source.where("a IS NULL OR a = 1"))
+    # one move of each side serves both its grouping and the join; only floating-point numbers are normalised in between
+    target.state = [c for c in source.columns if c != "b"]
+    source.write.parquet(f"{tmp_path}/source")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = target.pending(spark.read.parquet(f"{tmp_path}/source"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "SortMergeJoin" in plan
+    target.publish(left, "r/2")
+    assert target.pending(source).isEmpty()
+
+
 def test_last_mark(spark):
     schema = "run_no int, attempt int, run_state string, state_at timestamp_ntz, mark timestamp_ntz"
     at = lambda h: f"2024-01-01 {h:02}:00:00"

@@ -9,17 +9,28 @@ pending again; one that dies after is found in the manifest and not repeated.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.manifest import Part, PartStore, Version
 
+#: Any value will do, as whether it stands for null is kept beside it.
+STAND_INS = (
+    (T.StringType, ""),
+    (T.NumericType, 0),
+    (T.BooleanType, False),
+    (T.BinaryType, b""),
+    ((T.DateType, T.TimestampType, T.TimestampNTZType), datetime.datetime(2000, 1, 1)),
+)
+
 
 class IncrementalTarget:
-    """A target table keyed by ``state``: the source key and version columns.
+    """A target table keyed by ``state``: the source key and version columns, which are texts, numbers, flags, bytes or times.
 
     A null in a state column is a value like any other. Repeated source rows of
     one state are one state, reduced before the join so that a hot state never
@@ -36,13 +47,24 @@ class IncrementalTarget:
 
     def pending(self, source: DataFrame) -> DataFrame:
         """Distinct states of ``source`` that no published row was made from."""
-        states = source.select(*self.state).distinct()
-        done = self.published()
-        if done is None:
-            return states
-        seen = done.select(*[F.col(c).alias(f"__{c}") for c in self.state]).distinct()
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in self.state])
-        return states.join(seen, same, "left_anti")
+        states, done = self._flat(source, "k"), self.published()
+        if done is not None:
+            names = range(2 * len(self.state))
+            same = reduce(lambda a, b: a & b, [F.col(f"__k{i}") == F.col(f"__d{i}") for i in names])
+            states = states.join(self._flat(done, "d"), same, "left_anti")
+        return states.select(*[F.when(~F.col(f"__k{2 * i + 1}"), F.col(f"__k{2 * i}")).alias(c) for i, c in enumerate(self.state)])
+
+    def _flat(self, rows: DataFrame, name: str) -> DataFrame:
+        """Distinct states as pairs of a value, or a stand-in for null, and whether it is null.
+
+        Grouping and joining are then by the same plain columns, so a row that
+        was moved for the one is where the other needs it.
+        """
+        columns = []
+        for i, c in enumerate(self.state):
+            stand_in = F.lit(next(value for kind, value in STAND_INS if isinstance(rows.schema[c].dataType, kind))).cast(rows.schema[c].dataType)
+            columns += [F.coalesce(F.col(c), stand_in).alias(f"__{name}{2 * i}"), F.col(c).isNull().alias(f"__{name}{2 * i + 1}")]
+        return rows.select(*columns).distinct()
 
     def publish(self, rows: DataFrame, run: str) -> Version:
         """Add the rows of one run as a new version of the target; a run already published changes nothing."""
