@@ -58,7 +58,9 @@ class IncrementalTarget:
         """Distinct states as pairs of a value, or a stand-in for null, and whether it is null.
 
         Grouping and joining are then by the same plain columns, so a row that
-        was moved for the one is where the other needs it.
+        was moved for the one is where the other needs it. That holds for the
+        usual key and version; the planner may change the order of more than four
+        columns, and then moves one side again.
         """
         columns = []
         for i, c in enumerate(self.state):
