@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.model import DUMP, EVENT
 from tidemark.plans.events import CLICK, END, IN_RANGE, SEG3, SHOWN, START, mapped_scalars, mapped_sql, shown
 from tidemark.plans.fixture import COMMIT, LOG_SQL, state_sql, version_log
-from tidemark.plans.listing import Request, matching, page
+from tidemark.plans.listing import Request, all_pages, matching
 from tidemark.session import scratch_path
 from tidemark.sources import rows as stored
 from tidemark.sources.tables import table
@@ -111,15 +111,9 @@ def stream_ingest(spark, folder):
 
 @query(f"{state_sql(4)} SELECT {SHOWN} FROM cur WHERE {IN_RANGE}")
 def page_all_concat(spark, folder):
-    """All pages of a listing, from token to token; the driver holds one page at a time."""
-    store, path = _store(spark, version_log(spark, folder), compact_after=COMMITS[-1]), scratch_path(spark, "pages")
-    source, token, request = store.snapshots(), "", {"start": START, "end": END, "page_size": PAGE_SIZE}
-    while True:
-        got = page(source, Request(**request, as_of=None if token else store.snapshot(), page_token=token))
-        spark.createDataFrame(got.rows, source.log.schema).write.mode("append").parquet(path)
-        token = got.next_page_token
-        if not token:
-            return shown(spark.read.schema(source.log.schema).parquet(path))
+    """All pages of a listing, each cut from its token to that of the next; no event comes to the driver."""
+    store = _store(spark, version_log(spark, folder), compact_after=COMMITS[-1])
+    return shown(all_pages(store.snapshots(), Request("", START, END, store.snapshot(), PAGE_SIZE)))
 
 
 @query("SELECT id, start_time FROM event_rows WHERE resource_external_id = (SELECT min(resource_external_id) FROM event_rows)")

@@ -175,26 +175,30 @@ class EventStore:
         from there on can see: those superseded by a later one of the same fold
         that is not after ``forget_before``.
         """
-        version = self.parts.current()
-        for level in range(len(self.level_limits) + 1):
-            here = [p for p in version.parts if p.level == level]
-            full = level and sum(p.rows for p in here) > self.level_limits[level - 1]
-            if not here or (level and not full):
+        version, last = self.parts.current(), len(self.level_limits)
+        for level in range(last + 1):
+            fold, target = [p for p in version.parts if p.level == level], level
+            full = level and sum(p.rows for p in fold) > self.level_limits[level - 1]
+            if not fold or (level and not full):
                 continue
-            incoming = sum(p.rows for p in here)
-            last = level == len(self.level_limits)
-            # a large part of the last level, which has no limit, is not written again for a little more
-            into = [p for p in version.parts if p.level == level + 1 and not (last and p.rows > TIER * incoming)]
-            merged = self.log(Version(parts=(*here, *into)))
+            while True:
+                incoming = sum(p.rows for p in fold)
+                # a large part of the last level, which has no limit, is not written again for a little more
+                fold += [p for p in version.parts if p.level == target + 1 and not (target == last and p.rows > TIER * incoming)]
+                target += 1
+                # what would be promoted at once is written in the level where it stays; what may lose versions is counted first
+                if forget_before is not None or target > last or sum(p.rows for p in fold) <= self.level_limits[target - 1]:
+                    break
+            merged = self.log(Version(parts=tuple(fold)))
             if forget_before is not None:
                 old = merged.where(F.col("txn_ts") <= forget_before)
                 merged = newest(old).unionByName(merged.where(F.col("txn_ts") > forget_before))
             path = self.parts.new_part_path()
             order = [F.col("start_time").desc(), F.col("id").desc(), F.col("txn_ts").desc()]
             merged.repartitionByRange(width_for(merged), *order).sortWithinPartitions(*order).write.parquet(path)
-            rest = tuple(p for p in version.parts if p not in (*here, *into))
-            until = max(p.until for p in (*here, *into))
-            version = self.parts.publish(version, (*rest, self._part(path, f"level {level + 1}", level + 1, until)))
+            rest = tuple(p for p in version.parts if p not in fold)
+            until = max(p.until for p in fold)
+            version = self.parts.publish(version, (*rest, self._part(path, f"level {target}", target, until)))
         return self._keep_state(version)
 
     def _keep_state(self, version: Version) -> Version:
